@@ -22,7 +22,7 @@ from pairloom.functions.overlap import (
     bleu_counts,
     chrf_counts,
 )
-from pairloom.functions.text import col, tokenize_13a, without_blanks
+from pairloom.functions.text import bind, col, tokenize_13a, without_blanks
 
 CHRF_BETA = 2.0
 _COUNTS = "array<bigint>"
@@ -40,41 +40,77 @@ def bleu_stats(hyp: Column | str, ref: Column | str) -> Column:
     return count(tokenize_13a(hyp), tokenize_13a(ref))
 
 
-def sum_stats(stats: Column | str, width: int) -> Column:
-    """Aggregate: element-wise sum of statistics arrays (partial sums before the shuffle)."""
-    return F.array(*[F.coalesce(F.sum(F.get(col(stats), i)), F.lit(0)) for i in range(width)])
+def sum_stats(stats: str, width: int) -> Column:
+    """Aggregate: element-wise sum of a statistics column (partial sums before the shuffle)."""
+    sums = ", ".join(f"coalesce(sum(get({stats}, {i})), 0L)" for i in range(width))
+    return F.expr(f"array({sums})")
+
+
+def _orders(stats: Column, count: int, first: int, fields: tuple[str, ...]) -> Column:
+    """The counts of every n-gram order as structs of doubles."""
+
+    def one(n: Column) -> Column:
+        start = n * len(fields) + first
+        return F.struct(
+            *[F.get(stats, start + k).cast("double").alias(f) for k, f in enumerate(fields)]
+        )
+
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), one)
 
 
 def chrf_score(stats: Column | str) -> Column:
     """chrF (0..100): precision and recall averaged over the orders both sides have."""
-    s = col(stats)
-    precision, recall, orders = F.lit(0.0), F.lit(0.0), F.lit(0)
-    for n in range(CHRF_ORDER):
-        hyp, ref, match = (F.get(s, 3 * n + k).cast("double") for k in range(3))
-        usable = (hyp > 0) & (ref > 0)
-        precision = precision + F.when(usable, match / hyp).otherwise(0.0)
-        recall = recall + F.when(usable, match / ref).otherwise(0.0)
-        orders = orders + F.when(usable, 1).otherwise(0)
-    p, r = precision / orders, recall / orders
+    orders = _orders(col(stats), CHRF_ORDER, 0, ("hyp", "ref", "match"))
+    usable = F.filter(orders, lambda o: (o["hyp"] > 0) & (o["ref"] > 0))
+
+    def mean(of: str) -> Column:
+        return F.aggregate(
+            usable,
+            F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("n")),
+            lambda acc, o: F.struct(
+                (acc["sum"] + o["match"] / o[of]).alias("sum"), (acc["n"] + 1.0).alias("n")
+            ),
+            lambda acc: F.coalesce(acc["sum"] / F.nullif(acc["n"], F.lit(0.0)), F.lit(0.0)),
+        )
+
     weight = CHRF_BETA**2
-    score = 100.0 * ((1 + weight) * p * r) / (weight * p + r)
-    return F.when((orders > 0) & (precision + recall > 0), score).otherwise(0.0)
+
+    def score(m: Column) -> Column:
+        below = weight * m["p"] + m["r"]
+        return F.when(below > 0, 100.0 * (1 + weight) * m["p"] * m["r"] / below).otherwise(0.0)
+
+    return bind(F.struct(mean("hyp").alias("p"), mean("ref").alias("r")), score)
 
 
 def bleu_score(stats: Column | str) -> Column:
     """BLEU (0..100), effective order; zero matches are smoothed by halving."""
     s = col(stats)
-    hyp_len, ref_len = (F.get(s, k).cast("double") for k in (0, 1))
-    log_sum, orders, halvings, matched = F.lit(0.0), F.lit(0), F.lit(0), F.lit(0)
-    for n in range(BLEU_ORDER):
-        total, match = (F.get(s, 2 + 2 * n + k).cast("double") for k in (0, 1))
-        has = total > 0
-        halvings = halvings + F.when(has & (match == 0), 1).otherwise(0)
-        smoothed = F.when(match == 0, 100.0 / (F.pow(F.lit(2.0), halvings) * total)).otherwise(
-            100.0 * match / total
+    start = F.struct(
+        F.lit(0.0).alias("logs"),
+        F.lit(0.0).alias("orders"),
+        F.lit(1.0).alias("halving"),
+        F.lit(0.0).alias("matched"),
+    )
+
+    def add(acc: Column, o: Column) -> Column:
+        halving = F.when(o["match"] == 0, acc["halving"] * 2).otherwise(acc["halving"])
+        share = F.when(o["match"] == 0, 100.0 / (halving * o["total"])).otherwise(
+            100.0 * o["match"] / o["total"]
         )
-        log_sum = log_sum + F.when(has, F.log(smoothed)).otherwise(0.0)
-        orders = orders + F.when(has, 1).otherwise(0)
-        matched = matched + F.coalesce(match, F.lit(0.0))
+        return F.struct(
+            (acc["logs"] + F.log(share)).alias("logs"),
+            (acc["orders"] + 1.0).alias("orders"),
+            halving.alias("halving"),
+            (acc["matched"] + o["match"]).alias("matched"),
+        )
+
+    orders = F.filter(_orders(s, BLEU_ORDER, 2, ("total", "match")), lambda o: o["total"] > 0)
+    hyp_len, ref_len = (F.get(s, k).cast("double") for k in (0, 1))
     brevity = F.when(hyp_len < ref_len, F.exp(1 - ref_len / hyp_len)).otherwise(1.0)
-    return F.when((matched > 0) & (hyp_len > 0), brevity * F.exp(log_sum / orders)).otherwise(0.0)
+    precision = F.aggregate(
+        orders,
+        start,
+        add,
+        lambda acc: F.when(acc["matched"] > 0, F.exp(acc["logs"] / acc["orders"])).otherwise(0.0),
+    )
+    return F.when(hyp_len > 0, brevity * precision).otherwise(0.0)

@@ -12,15 +12,10 @@ from pairloom.constants import (
     VOICED_MIN_HZ,
     VOICED_MIN_POINTS,
 )
-from pairloom.functions.text import col, strip, words
+from pairloom.functions.text import bind, col, strip, words
 from pairloom.schemas import PROSODY
 
 
-def _let(value: Column, body) -> Column:
-    """Bind `value` once inside an expression, so that it is not evaluated again per use."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -44,9 +39,9 @@ def summarize_f0(series: Column | str) -> Column:
                 F.bround(F.array_max(v) - F.array_min(v), 2).alias("f0_range"),
             )
 
-        return F.when(n >= VOICED_MIN_POINTS, _let(_total(v) / n, with_mean))
+        return F.when(n >= VOICED_MIN_POINTS, bind(_total(v) / n, with_mean))
 
-    return _let(voiced, summary).cast(PROSODY)
+    return bind(voiced, summary).cast(PROSODY)
 
 
 def f0_cv(prosody: Column | str) -> Column:
@@ -74,7 +69,7 @@ def contour_marker(prosody: Column | str, version: int = CURRENT_MARKER_POLICY)
 
 
 def marker_of_series(series: Column | str, version: int = CURRENT_MARKER_POLICY) -> Column:
-    return _let(summarize_f0(series), lambda p: contour_marker(p, version))
+    return bind(summarize_f0(series), lambda p: contour_marker(p, version))
 
 
 def slice_series(
@@ -105,7 +100,7 @@ def marked_words(
 
     def one(w: Column) -> Column:
         piece = slice_series(s, start, end, w["start_s"], w["end_s"])
-        return _let(
+        return bind(
             summarize_f0(piece),
             lambda p: F.struct(
                 w["word"].alias("word"),

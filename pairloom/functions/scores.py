@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.constants import DEFAULT_SCORES, LABELS, REGIONS, SCORE_RANGES, STANDARD_LABEL
 from pairloom.functions.ngrams import bleu_score, bleu_stats, chrf_score, chrf_stats
-from pairloom.functions.text import col, normalize_word, strip, word_set, words
+from pairloom.functions.text import bind, col, normalize_word, strip, word_set, words
 
 TO_DIALECT, TO_STANDARD = "std2dia", "dia2std"
 
@@ -35,26 +35,36 @@ def _clamp(x: Column) -> Column:
 
 # ---- n-gram scores ------------------------------------------------------------------
 
+# Count columns the n-gram scores read: computed once per row, shared by the scores.
+NGRAM_INPUTS: dict[str, Callable[[], Column]] = {
+    "_chrf_gold": lambda: chrf_stats("gen", gold()),
+    "_chrf_source": lambda: chrf_stats("gen", source()),
+    "_chrf_budget": lambda: chrf_stats(gold(), source()),
+    "_bleu_rev": lambda: bleu_stats("rev", source()),
+}
 
-def content(gen: str = "gen", direction: str = "direction") -> Column:
-    return chrf_score(chrf_stats(gen, gold(direction))) / 100.0
 
+def prepare(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Adds the count columns that the named scores need and the rows do not have yet."""
+    wanted = {c for name in names for c in REGISTRY[name][1] if c in NGRAM_INPUTS}
+    return rows.withColumns({c: NGRAM_INPUTS[c]() for c in sorted(wanted - set(rows.columns))})
 
-def copy_margin(gen: str = "gen", direction: str = "direction") -> Column:
-    to_gold = chrf_score(chrf_stats(gen, gold(direction)))
-    to_source = chrf_score(chrf_stats(gen, source(direction)))
-    return _clamp((to_gold - to_source + 100.0) / 200.0)
 
+def content() -> Column:
+    return chrf_score("_chrf_gold") / 100.0
 
-def overcorrection(gen: str = "gen", direction: str = "direction") -> Column:
-    budget = chrf_score(chrf_stats(gold(direction), source(direction)))
-    kept = chrf_score(chrf_stats(gen, source(direction)))
-    return 1.0 - F.greatest(F.lit(0.0), budget - kept) / 100.0
 
+def copy_margin() -> Column:
+    return _clamp((chrf_score("_chrf_gold") - chrf_score("_chrf_source") + 100.0) / 200.0)
 
-def reconstruction(rev: str = "rev", direction: str = "direction", scale: float = 100.0) -> Column:
-    score = bleu_score(bleu_stats(rev, source(direction)))
-    return F.when(strip(rev) == "", F.lit(0.0)).otherwise(_clamp(score / scale))
+
+def overcorrection() -> Column:
+    beyond = chrf_score("_chrf_budget") - chrf_score("_chrf_source")
+    return 1.0 - F.greatest(F.lit(0.0), beyond) / 100.0
+
+
+def reconstruction(rev: str = "rev", scale: float = 100.0) -> Column:
+    return F.when(strip(rev) == "", F.lit(0.0)).otherwise(_clamp(bleu_score("_bleu_rev") / scale))
 
 
 # ---- word-map scores ----------------------------------------------------------------
@@ -73,20 +83,22 @@ def edit(
     gen: str = "gen", direction: str = "direction", word_map: str = "dialect_eojeol_map"
 ) -> Column:
     """0.7 x share of standard words gone + 0.3 x share of dialect words present."""
-    generated = word_set(gen)
-    standard, dialect = (_map_words(F.col(word_map), s) for s in ("standard", "dialect"))
-    removed = 1.0 - _share(generated, standard)
-    hit = F.when(F.size(dialect) > 0, _share(generated, dialect)).otherwise(0.0)
-    unchanged = strip(gen) == strip(source(direction))
-    return (
-        F.when(
-            F.coalesce(F.size(word_map), F.lit(0)) <= 0,
-            F.when(unchanged, F.lit(1.0)).otherwise(F.lit(0.2)),
-        )
-        .when(F.size(standard) == 0, F.lit(0.5))
-        .otherwise(0.7 * removed + 0.3 * hit)
+    sides = F.struct(
+        word_set(gen).alias("have"),
+        *[_map_words(F.col(word_map), s).alias(s) for s in ("standard", "dialect")],
     )
 
+    def mapped(w: Column) -> Column:
+        removed = 1.0 - _share(w["have"], w["standard"])
+        hit = F.when(F.size(w["dialect"]) > 0, _share(w["have"], w["dialect"])).otherwise(0.0)
+        return F.when(F.size(w["standard"]) == 0, F.lit(0.5)).otherwise(0.7 * removed + 0.3 * hit)
+
+    unchanged = strip(gen) == strip(source(direction))
+    return F.when(
+        F.coalesce(F.size(word_map), F.lit(0)) <= 0,
+        F.when(unchanged, F.lit(1.0)).otherwise(F.lit(0.2)),
+    ).otherwise(bind(sides, mapped))
+
 
 def edit_precision(
     gen: str = "gen", direction: str = "direction", word_map: str = "dialect_eojeol_map"
@@ -94,18 +106,24 @@ def edit_precision(
     """Share of the source words outside the map that survive."""
     empty = F.array().cast("array<string>")
     targets = F.coalesce(_map_words(F.col(word_map), "standard"), empty)
-    keep = F.array_except(word_set(source(direction)), targets)
-    kept = F.size(F.array_intersect(keep, word_set(gen)))
-    return F.when(F.size(keep) == 0, F.lit(1.0)).otherwise(kept / F.size(keep))
+
+    def kept(keep: Column) -> Column:
+        survived = F.size(F.array_intersect(keep, word_set(gen)))
+        return F.when(F.size(keep) == 0, F.lit(1.0)).otherwise(survived / F.size(keep))
+
+    return bind(F.array_except(word_set(source(direction)), targets), kept)
 
 
 def edit_recall(gen: str = "gen", word_map: str = "dialect_eojeol_map") -> Column:
     """Share of distinct gold dialect words that appear."""
-    wanted = F.array_distinct(_map_words(F.col(word_map), "dialect"))
-    hit = F.size(F.array_intersect(wanted, word_set(gen)))
-    return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, F.lit(1.0)).otherwise(
-        hit / F.size(wanted)
-    )
+
+    def found(wanted: Column) -> Column:
+        hit = F.size(F.array_intersect(wanted, word_set(gen)))
+        return F.when(F.coalesce(F.size(wanted), F.lit(0)) <= 0, F.lit(1.0)).otherwise(
+            hit / F.size(wanted)
+        )
+
+    return bind(F.array_distinct(_map_words(F.col(word_map), "dialect")), found)
 
 
 def word_hits(gen: str = "gen", word_map: str = "dialect_eojeol_map") -> tuple[Column, Column]:
@@ -114,8 +132,9 @@ def word_hits(gen: str = "gen", word_map: str = "dialect_eojeol_map") -> tuple[C
         F.transform(F.col(word_map), lambda e: strip(F.coalesce(e["dialect"], F.lit("")))),
         lambda w: w != "",
     )
-    have = words(gen)
-    hits = F.size(F.filter(wanted, lambda w: F.array_contains(have, w)))
+    hits = bind(
+        words(gen), lambda have: F.size(F.filter(wanted, lambda w: F.array_contains(have, w)))
+    )
     return (
         F.when(F.col(word_map).isNull(), F.lit(0)).otherwise(hits),
         F.when(F.col(word_map).isNull(), F.lit(0)).otherwise(F.size(wanted)),
@@ -214,13 +233,13 @@ def register_score(name: str, builder: Callable[..., Column], needs: Sequence[st
 
 for _name, _builder, _needs in (
     ("style", style, ("probs", "do")),
-    ("content", content, ("gen",)),
+    ("content", content, ("_chrf_gold",)),
     ("edit", edit, ("gen", "dialect_eojeol_map")),
     ("edit_precision", edit_precision, ("gen", "dialect_eojeol_map")),
     ("edit_recall", edit_recall, ("gen", "dialect_eojeol_map")),
-    ("copy_margin", copy_margin, ("gen",)),
-    ("overcorrection", overcorrection, ("gen",)),
-    ("reconstruction", reconstruction, ("rev",)),
+    ("copy_margin", copy_margin, ("_chrf_gold", "_chrf_source")),
+    ("overcorrection", overcorrection, ("_chrf_budget", "_chrf_source")),
+    ("reconstruction", reconstruction, ("rev", "_bleu_rev")),
     ("fluency", fluency, ("gen", "nll")),
     ("length", length, ("gen",)),
 ):
@@ -233,7 +252,10 @@ def build_scores(
     normalize: bool = False,
     **options: dict,
 ) -> tuple[dict[str, Column], dict[str, float]]:
-    """Score columns and weights for named specs; options hold keyword arguments by name."""
+    """Score columns and weights for named specs; options hold keyword arguments by name.
+
+    Rows for n-gram scores go through `prepare` first.
+    """
     built, weights = {}, {}
     for name, weight in specs or DEFAULT_SCORES:
         if name not in REGISTRY:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,6 +16,14 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once.
+
+    Expressions inside a lambda are evaluated per element and per use; a bound one is a variable.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column | str) -> Column:
     """Blanks off both ends (all Unicode blanks, unlike `trim`)."""
     return F.btrim(col(text), F.lit(BLANKS))
@@ -162,11 +170,14 @@ def word_difference(standard: Column | str, dialect: Column | str) -> Column:
 
 def changed_words(standard: Column | str, dialect: Column | str) -> Column:
     """Word map of a pair with equal word counts: entries where the two words differ."""
-    s, d = words(standard), words(dialect)
-    pairs = F.zip_with(s, d, lambda x, y: F.struct(x.alias("standard"), y.alias("dialect")))
-    return F.when(
-        F.size(s) == F.size(d), F.filter(pairs, lambda p: p["standard"] != p["dialect"])
-    ).otherwise(F.slice(pairs, 1, 0))
+
+    def entries(sides: Column) -> Column:
+        s, d = sides["s"], sides["d"]
+        pairs = F.zip_with(s, d, lambda x, y: F.struct(x.alias("standard"), y.alias("dialect")))
+        same_count = F.size(s) == F.size(d)
+        return F.filter(pairs, lambda p: same_count & (p["standard"] != p["dialect"]))
+
+    return bind(F.struct(words(standard).alias("s"), words(dialect).alias("d")), entries)
 
 
 # ---- tokeniser for BLEU, version 13a ---------------------------------------------------

@@ -141,7 +141,8 @@ def metrics_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sentence_scores(runs: DataFrame, keys: Sequence[str] = ("do", "run", "id")) -> DataFrame:
     """Sentence BLEU of the back-translation, the input of the significance tests."""
-    return runs.select(*keys, bleu_score(bleu_stats("rev", "standard")).alias("score"))
+    counted = runs.select(*keys, bleu_stats("rev", "standard").alias("_bleu_rev"))
+    return counted.select(*keys, bleu_score("_bleu_rev").alias("score"))
 
 
 def with_bucket(runs: DataFrame) -> DataFrame:

@@ -107,34 +107,35 @@ def exact_quantiles(
         ]
     )
     nested = brackets.select(*groups, wanted.alias("_t"))
-    below = F.coalesce(F.col("_v") < F.col("t.low"), F.lit(False))
-    above = F.coalesce(F.col("_v") > F.col("t.high"), F.lit(False))
-    # one row per (group, target, value inside the bracket); everything below shares one row
+    side = F.when(F.col("_v") < F.col("t.low"), -1).when(F.col("_v") > F.col("t.high"), 1).otherwise(0)
+    # one row per (group, target, value inside the bracket); below and above are one row each
     counted = (
         join_bounded(rows, nested, list(groups))
         .select(*groups, "_v", F.explode("_t").alias("t"))
-        .filter(~above)
-        .groupBy(
-            *groups,
-            F.col("t.i").alias("i"),
-            F.col("t.rank").alias("rank"),
-            F.when(below, F.lit(None).cast("double")).otherwise(F.col("_v")).alias("v"),
-        )
-        .agg(F.count(F.lit(1)).alias("c"))
+        .select(*groups, "t.i", "t.rank", "_v", side.alias("side"))
+        .groupBy(*groups, "i", "rank", "side", F.when(F.col("side") == 0, F.col("_v")).alias("inside"))
+        .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    running = W.partitionBy(*groups, "i").orderBy(F.col("v").asc_nulls_first())
+    running = W.partitionBy(*groups, "i").orderBy("side", "inside")
     ranked = counted.withColumn("_end", F.sum("c").over(running)).withColumn(
         "_start", F.col("_end") - F.col("c")
     )
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("v")))
+        """Value at a rank: in the bracket, the last one below it, or the first one above it."""
+        here = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        last_below = (F.col("side") == -1) & (rank == F.col("_end") - 1)
+        first_above = (F.col("side") == 1) & (rank == F.col("_start"))
+        value = F.when(last_below, F.col("_hi")).when(
+            (F.col("side") == 0) | first_above, F.col("_lo")
+        )
+        return F.max(F.when(here, value))
 
     low, part = F.floor("rank"), F.col("rank") - F.floor("rank")
     ends = ranked.groupBy(*groups, "i", "rank").agg(at(low).alias("a"), at(low + 1).alias("b"))
-    values = ends.select(
-        *groups, "i", F.when(part > 0, F.col("a") + (F.col("b") - F.col("a")) * part).otherwise(F.col("a")).alias("v")
-    )
+    between = F.when(part > 0, F.col("a") + (F.col("b") - F.col("a")) * part).otherwise(F.col("a"))
+    missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
+    values = ends.select(*groups, "i", F.coalesce(between, missed).alias("v"))
     return values.groupBy(*groups).agg(
         *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(k)]
     )

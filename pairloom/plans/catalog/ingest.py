@@ -95,7 +95,7 @@ def ing10(spark, sf):
     )
     rows = lines.select(
         "doc_id",
-        "pos",
+        F.col("pos").cast("bigint").alias("pos"),
         T.strip("line").alias("standard"),
         T.strip(F.replace("line", F.lit("the"), F.lit(""))).alias("dialect"),
     )
@@ -107,7 +107,7 @@ def ing11(spark, sf):
     rows = T.decode_transcripts(V.transcripts(spark, sf)).filter(F.col("error").isNull())
     each = rows.select("name", "segments", F.explode("sentences").alias("s"))
     near = T.segments_between(F.col("segments"), F.col("s.start_s"), F.col("s.end_s"))
-    return each.select("name", F.col("s.number").alias("number"), F.size(near).cast("bigint").alias("segments"))
+    return each.select("name", F.col("s.number").cast("bigint").alias("number"), F.size(near).cast("bigint").alias("segments"))
 
 
 @query(

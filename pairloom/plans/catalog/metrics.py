@@ -169,7 +169,7 @@ def met10(spark, sf):
     return wide.join(margins, ["region", "run"]).select("region", "run", score.alias("jscore"))
 
 
-def wide_sql(source: str, keys: str, row: str, extra: str = "") -> tuple[str, dict[str, str]]:
+def wide_sql(source: str, keys: str, row: str, places: int = 6) -> tuple[str, dict[str, str]]:
     """All metrics per keys over a run table with `word_map`."""
     ctes = {
         **chrf_ctes("g", source, "gen", "dialect", row),
@@ -186,9 +186,9 @@ FROM simple LEFT JOIN ({chrf_of('g', keys)}) g USING ({keys}) LEFT JOIN ({chrf_o
 LEFT JOIN ({bleu_of('b', keys)}) b USING ({keys}) LEFT JOIN ({bleu_of('r', keys)}) r USING ({keys})""",
     }
     names = ("tdr", "eojeol_accuracy", "bleu", "chrf", "chrf_source", "copy_margin", "reconstruction_bleu")
-    body = f"""SELECT {keys}, n, exact_match, {', '.join(f'round({m}, 6) AS {m}' for m in names)},
-  round(pow(greatest(1e-6, least(1.0, tdr)) * greatest(1e-6, least(1.0, (copy_margin + 100) / 200)) * greatest(1e-6, least(1.0, eojeol_accuracy)) * 0.5, 0.25), 6) AS jscore
-FROM wide{extra}"""
+    body = f"""SELECT {keys}, n, exact_match, {', '.join(f'round({m}, {places}) AS {m}' for m in names)},
+  round(pow(greatest(1e-6, least(1.0, tdr)) * greatest(1e-6, least(1.0, (copy_margin + 100) / 200)) * greatest(1e-6, least(1.0, eojeol_accuracy)) * 0.5, 0.25), {places}) AS jscore
+FROM wide"""
     return body, ctes
 
 

@@ -159,7 +159,7 @@ def ldb10(spark, sf):
     )
 
 
-_body, _ctes = wide_sql("mapped", BY, ROW)
+_body, _ctes = wide_sql("mapped", BY, ROW, places=12)
 LONG = " UNION ALL ".join(
     f"SELECT \"do\" AS region, run, '{m}' AS metric, {m} AS value FROM metrics_wide"
     for m in ("tdr", "eojeol_accuracy", "bleu", "chrf", "chrf_source", "copy_margin", "reconstruction_bleu", "jscore")

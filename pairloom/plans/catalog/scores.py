@@ -45,7 +45,8 @@ def every(column: str) -> str:
     with_views("gens", f"SELECT run, id, round({every('a.chrf')} / 100, 6) AS content FROM gens LEFT JOIN a USING (run, id)", **chrf_sql("a", "gen", "target")),
 )
 def rwd01(spark, sf):
-    return runs(spark, sf).select("run", "id", S.content().alias("content"))
+    rows = S.prepare(runs(spark, sf), ["content"])
+    return rows.select("run", "id", S.content().alias("content"))
 
 
 @query(
@@ -59,7 +60,8 @@ FROM gens LEFT JOIN a USING (run, id) LEFT JOIN b USING (run, id)""",
     ),
 )
 def rwd02(spark, sf):
-    return runs(spark, sf).select("run", "id", S.copy_margin().alias("copy_margin"))
+    rows = S.prepare(runs(spark, sf), ["copy_margin"])
+    return rows.select("run", "id", S.copy_margin().alias("copy_margin"))
 
 
 @query(
@@ -73,7 +75,8 @@ FROM gens LEFT JOIN a USING (run, id) LEFT JOIN b USING (run, id)""",
     ),
 )
 def rwd03(spark, sf):
-    return runs(spark, sf).select("run", "id", S.overcorrection().alias("overcorrection"))
+    rows = S.prepare(runs(spark, sf), ["overcorrection"])
+    return rows.select("run", "id", S.overcorrection().alias("overcorrection"))
 
 
 def map_words(side: str) -> str:
@@ -173,7 +176,8 @@ def bleu_sql(prefix: str, hyp: str, ref: str) -> dict[str, str]:
     ),
 )
 def rwd10(spark, sf):
-    return runs(spark, sf).select("run", "id", S.reconstruction().alias("reconstruction"))
+    rows = S.prepare(runs(spark, sf), ["reconstruction"])
+    return rows.select("run", "id", S.reconstruction().alias("reconstruction"))
 
 
 UNIT = {

@@ -100,7 +100,7 @@ _view(
   CASE WHEN n >= 3 THEN round_even(sqrt(list_sum(list_transform(v, lambda p: (p - mean) * (p - mean))) / n), 2) END AS f0_std,
   CASE WHEN n >= 3 THEN round_even(v[1], 2) END AS f0_start,
   CASE WHEN n >= 3 THEN round_even(v[-1], 2) END AS f0_end,
-  CASE WHEN n >= 3 THEN round_even((v[-1] - v[1]) / v[1], 3) END AS f0_delta,
+  CASE WHEN n >= 3 THEN round_even((v[-1] - v[1]) / v[1], 3) + 0.0::DOUBLE END AS f0_delta,
   CASE WHEN n >= 3 THEN round_even(list_max(v) - list_min(v), 2) END AS f0_range
 FROM voiced""",
     "voiced",

@@ -19,7 +19,7 @@ from pairloom.constants import (
     SPLIT_FOLDERS,
 )
 from pairloom.functions.prosody import contour_marker, marked_words, summarize_f0
-from pairloom.functions.text import clean_transcript, col, strip, words
+from pairloom.functions.text import bind, clean_transcript, col, strip, words
 from pairloom.operators.ordering import hash_key
 
 EMPTY = "empty or invalid"
@@ -160,7 +160,6 @@ def align_words(standard: Column | str, dialect: Column | str, segments: Column
     both sides and adds entries (one per word when the counts agree, else one for the whole
     segment); a segment without one only moves the pointers.
     """
-    s_words, d_words = words(standard), words(dialect)
     prepared = F.transform(
         col(segments),
         lambda g: F.struct(
@@ -183,12 +182,10 @@ def align_words(standard: Column | str, dialect: Column | str, segments: Column
             spoken.alias("pronunciation"),
         )
 
-    def step(state: Column, g: Column) -> Column:
-        found = F.array(
-            F.struct(
-                _find(s_words, state["s"], g["sw"]).alias("s"),
-                _find(d_words, state["d"], g["dw"]).alias("d"),
-            )
+    def step(both_words: Column, state: Column, g: Column) -> Column:
+        found = F.struct(
+            _find(both_words["s"], state["s"], g["sw"]).alias("s"),
+            _find(both_words["d"], state["d"], g["dw"]).alias("d"),
         )
 
         def advance(at: Column) -> Column:
@@ -209,12 +206,15 @@ def align_words(standard: Column | str, dialect: Column | str, segments: Column
                 .alias("m"),
             ).cast(_ALIGN_STATE)
 
-        return F.get(F.transform(found, advance), 0)
+        return bind(found, advance)
 
     start = F.struct(
         F.lit(0).alias("s"), F.lit(0).alias("d"), F.array().cast(schemas.WORD_MAP).alias("m")
     ).cast(_ALIGN_STATE)
-    return F.aggregate(prepared, start, step, lambda state: state["m"])
+    return bind(
+        F.struct(words(standard).alias("s"), words(dialect).alias("d")),
+        lambda w: F.aggregate(prepared, start, lambda st, g: step(w, st, g), lambda st: st["m"]),
+    )
 
 
 def tag_of(items: Column, sentence_id: Column) -> Column:
@@ -228,6 +228,15 @@ def segments_between(segments: Column, start: Column, end: Column) -> Column:
     return F.filter(segments, lambda g: (g["at"] >= start) & (g["at"] <= end + 0.01))
 
 
+def decoded(files: DataFrame, document: Column) -> DataFrame:
+    """`path, d`: the document computed once per file.
+
+    A one-element explode keeps the optimizer from copying the decoding into every later
+    expression and filter that mentions one of its fields.
+    """
+    return files.select("path", F.explode(F.array(document)).alias("d"))
+
+
 # ---- current format ---------------------------------------------------------------------
 
 
@@ -237,7 +246,7 @@ def _blank(text: Column) -> Column:
 
 def decode_transcripts(files: DataFrame) -> DataFrame:
     """`path, name, sentences, segments, intents, emotions, error`, one row per file."""
-    doc = files.select("path", decode_json("content", schemas.TRANSCRIPT).alias("d"))
+    doc = decoded(files, decode_json("content", schemas.TRANSCRIPT))
     nothing = F.array()
     segments = F.transform(
         F.coalesce(F.col("d.transcription.segments"), nothing.cast(_field("segments"))),
@@ -269,14 +278,14 @@ def decode_transcripts(files: DataFrame) -> DataFrame:
         ),
     )
     name = F.coalesce(F.col("d.fileName"), F.element_at(F.split("path", "/"), -1))
-    rows = doc.select(
-        "path",
+    parts = F.struct(
         name.alias("name"),
         sentences.alias("sentences"),
         segments.alias("segments"),
         F.col("d.annotation.intents").alias("intents"),
         F.col("d.annotation.emotions").alias("emotions"),
     )
+    rows = doc.select("path", F.inline(F.array(parts)))
     bad_sentence = F.exists(
         "sentences", lambda s: s["start_s"].isNull() | s["end_s"].isNull() | s["number"].isNull()
     )
@@ -348,10 +357,10 @@ def parse(files: DataFrame) -> DataFrame:
 def parse_legacy(files: DataFrame) -> DataFrame:
     """Sentence rows of the legacy format, cleaned; one `error` row per failed file."""
     split = legacy_split("path")
-    doc = files.select("path", decode_json("content", schemas.LEGACY_TRANSCRIPT)["utterance"].alias("u"))
+    doc = decoded(files, decode_json("content", schemas.LEGACY_TRANSCRIPT)).select("path", "d.utterance")
     cleaned = F.filter(
         F.transform(
-            "u",
+            "utterance",
             lambda u: F.struct(
                 u["id"].alias("id"),
                 clean_transcript(u["standard_form"], "standard").alias("standard"),
@@ -361,7 +370,7 @@ def parse_legacy(files: DataFrame) -> DataFrame:
         ),
         lambda u: (u["standard"] != "") & (u["dialect"] != ""),
     )
-    rows = doc.select("path", cleaned.alias("rows"))
+    rows = doc.select("path", F.explode(F.array(cleaned)).alias("rows"))
     kept = F.transform(
         F.filter("u.entries", lambda e: e["standard"].isNotNull()),
         lambda e: F.struct(

@@ -37,12 +37,14 @@ def rows_of(names, rows):
 
 def compare(df, con, sql: str) -> str:
     """'' when equal, else what differs."""
+    began = time.time()
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     types = {d[0]: str(d[1]) for d in result.description}
     theirs = rows_of(names, result.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
+    compare.duck = time.time() - began
     ours = rows_of(df.columns, [tuple(r) for r in df.collect()])
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     loose = [f"{n}:{t}/{types[n]}" for n, t in df.dtypes if kinds.get(t) != types[n]]
@@ -76,6 +78,7 @@ def main(sf: str, wanted: list[str]) -> int:
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
         start = time.time()
+        compare.duck = 0.0
         try:
             df = q.run(spark, sf_dir)
             note = compare(df, con, q.sql) if q.sql else f" rows {df.count()}"
@@ -83,7 +86,7 @@ def main(sf: str, wanted: list[str]) -> int:
             note = "ERROR " + str(error).replace("\n", " ")[:900]
         ok = not note or note.startswith(" rows")
         failures += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {note}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start - compare.duck:.1f}s (duckdb {compare.duck:.1f}s) {note}", flush=True)
     print("failures:", failures)
     return failures
 
