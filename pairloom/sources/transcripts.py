@@ -77,8 +77,8 @@ def _decode(text: Column, schema: str) -> Column:
     options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
     blank = strip(text)
     is_object = blank.startswith("{") & blank.endswith("}")
-    parsed = F.from_json(text, schema, options)
-    return F.when(is_object & parsed["_bad"].isNull(), parsed)
+    parsed = bind(F.from_json(text, schema, options), lambda d: F.when(d["_bad"].isNull(), d))
+    return F.when(is_object, parsed)
 
 
 def decode_json(text: Column | str, schema: str) -> Column:
