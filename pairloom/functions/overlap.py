@@ -18,7 +18,7 @@ CHRF_ORDER = 6
 BLEU_ORDER = 4
 CHRF_WIDTH = 3 * CHRF_ORDER
 BLEU_WIDTH = 2 + 2 * BLEU_ORDER
-_SYMBOLS_PER_BLOCK = 2_000_000  # bounds kernel memory; a row is never split
+_SYMBOLS_PER_BLOCK = 100_000  # hash tables stay in cache; a row is never split
 
 
 def _overlap(hyp: tuple, ref: tuple, order: int) -> np.ndarray:
@@ -43,13 +43,12 @@ def _overlap(hyp: tuple, ref: tuple, order: int) -> np.ndarray:
         at, prefix = at[fits], prefix[fits]
         if not len(at):
             break
-        ids, first, dense = np.unique(
-            prefix * base + symbols[at + n - 1], return_index=True, return_inverse=True
-        )
+        dense, ids = pd.factorize(prefix * base + symbols[at + n - 1])
         ref_side = is_ref[at]
         in_hyp = np.bincount(dense[~ref_side], minlength=len(ids))
         in_ref = np.bincount(dense[ref_side], minlength=len(ids))
-        owner = rows[at[first]]
+        owner = np.empty(len(ids), dtype=np.int64)
+        owner[dense] = rows[at]  # all places of a gram id lie in one row
         for k, values in enumerate((in_hyp, in_ref, np.minimum(in_hyp, in_ref))):
             out[:, n - 1, k] = np.bincount(owner, weights=values, minlength=n_rows)
         prefix = dense

@@ -8,8 +8,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairloom.constants import BLANKS, DIALECT_ENDINGS, WORD_EDGE_PUNCTUATION
+from pairloom.functions.distance import LONG_TEXT, long_distances
 
-_BLANK_RUN = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in BLANKS) + "]+"
+# The characters of BLANKS as ranges, which keeps the patterns cheap. A single plain space is
+# left alone where it needs no change, since it is by far the most frequent match.
+_RARE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK_RUN = f"[ {_RARE}]+"
+_UNEVEN_BLANKS = f"[ {_RARE}]{{2,}}|[{_RARE}]"
+_RARE_BLANK = f"[{_RARE}]"
 
 
 def col(value: Column | str) -> Column:
@@ -31,12 +37,13 @@ def strip(text: Column | str) -> Column:
 
 def squeeze(text: Column | str) -> Column:
     """Runs of blanks to one space, then strip."""
-    return strip(F.regexp_replace(col(text), _BLANK_RUN, " "))
+    return strip(F.regexp_replace(col(text), _UNEVEN_BLANKS, " "))
 
 
 def words(text: Column | str) -> Column:
     """Blank-separated words, without empty ones."""
-    return F.filter(F.split(col(text), _BLANK_RUN), lambda w: w != "")
+    # splitting at one plain character needs no pattern per row
+    return F.filter(F.split(F.regexp_replace(col(text), _RARE_BLANK, " "), " "), lambda w: w != "")
 
 
 def without_blanks(text: Column | str) -> Column:
@@ -105,33 +112,55 @@ def completion_text(df: DataFrame, column: str) -> Column:
 # ---- distances and predicates --------------------------------------------------------
 
 
-def norm_levenshtein(a: Column | str, b: Column | str) -> Column:
+def edit_distance(a: Column | str, b: Column | str, only_if: Column | None = None) -> Column:
+    """Levenshtein distance; null where `only_if` is false.
+
+    The built-in costs one step per cell of the edit matrix. Pairs beyond LONG_TEXT characters
+    go to a bit-parallel helper instead, so one very long text does not hold up its task.
+    """
+    a, b = col(a), col(b)
+    wanted = F.lit(True) if only_if is None else only_if
+    long = wanted & (F.greatest(F.length(a), F.length(b)) > LONG_TEXT)
+    by_bits = F.pandas_udf(long_distances, "bigint")(F.when(long, a), F.when(long, b))
+    return F.when(long, by_bits).when(wanted, F.levenshtein(a, b))
+
+
+def norm_levenshtein(a: Column | str, b: Column | str, only_if: Column | None = None) -> Column:
     """Edit distance over the longer length: 0 when equal, 1 when one side is empty."""
     a, b = col(a), col(b)
-    longest = F.greatest(F.length(a), F.length(b))
+    la, lb = F.length(a), F.length(b)
+    differ = (a != b) & (la > 0) & (lb > 0)
+    wanted = differ if only_if is None else differ & only_if
     return (
         F.when(a == b, F.lit(0.0))
-        .when((F.length(a) == 0) | (F.length(b) == 0), F.lit(1.0))
-        .otherwise(F.levenshtein(a, b) / longest)
+        .when((la == 0) | (lb == 0), F.lit(1.0))
+        .otherwise(edit_distance(a, b, wanted) / F.greatest(la, lb))
     )
 
 
-def closer_than(a: Column | str, b: Column | str, threshold: float) -> Column:
+def closer_than(
+    a: Column | str, b: Column | str, threshold: float, only_if: Column | None = None
+) -> Column:
     """`norm_levenshtein(a, b) < threshold` without computing far distances.
 
     The length difference is a lower bound of the distance, and the band of the edit matrix
-    is limited to the distances that can still pass, so long pairs stay cheap.
+    is limited to the distances that can still pass. Null or false where `only_if` is false.
     """
     a, b = col(a), col(b)
     la, lb = F.length(a), F.length(b)
     longest = F.greatest(la, lb)
+    open_case = (a != b) & (la > 0) & (lb > 0) & (F.abs(la - lb) < longest * F.lit(threshold))
+    if only_if is not None:
+        open_case = open_case & only_if
+    long = open_case & (longest > LONG_TEXT)
+    by_bits = F.pandas_udf(long_distances, "bigint")(F.when(long, a), F.when(long, b))
     band = F.ceil(longest * F.lit(threshold)).cast("int")
-    distance = F.call_function("levenshtein", a, b, band)
+    distance = F.when(long, by_bits).when(open_case, F.call_function("levenshtein", a, b, band))
     return (
         F.when(a == b, F.lit(0.0 < threshold))
         .when((la == 0) | (lb == 0), F.lit(1.0 < threshold))
-        .when(F.abs(la - lb) / longest >= threshold, F.lit(False))
-        .otherwise((distance >= 0) & (distance / longest < threshold))
+        .when(open_case, (distance >= 0) & (distance / longest < threshold))
+        .otherwise(F.lit(False))
     )
 
 
@@ -190,7 +219,8 @@ def tokenize_13a(text: Column | str) -> Column:
     for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.concat(F.lit(" "), out, F.lit(" "))
-    out = F.regexp_replace(out, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 ")
+    # the published class also spaces out blanks, which the final squeeze undoes
+    out = F.regexp_replace(out, r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", r" $1 ")
     out = F.regexp_replace(out, r"([^0-9])([\.,])", r"$1 $2 ")
     out = F.regexp_replace(out, r"([\.,])([^0-9])", r" $1 $2")
     out = F.regexp_replace(out, r"([0-9])(-)", r"$1 $2 ")

@@ -60,7 +60,9 @@ def classifier_candidates(
     never = F.lit(None).cast("string")
     polluted = carries_marker("standard", endings) if denoise else F.lit(False)
     same = identical(df) if filter_identical else F.lit(False)
-    near = F.lit(False) if min_distance is None else closer_than("standard", "dialect", min_distance)
+    near = F.lit(False)
+    if min_distance is not None:
+        near = closer_than("standard", "dialect", min_distance, only_if=supported() & ~same)
     standard_side = F.struct(
         F.lit("standard").alias("side"),
         F.col("standard").alias("text"),
@@ -73,12 +75,12 @@ def classifier_candidates(
         region_label("do").alias("label"),
         F.when(~supported(), F.lit("unsupported"))
         .when(same, F.lit("identical"))
-        .when(near, F.lit("near_standard"))
+        .when(F.col("_near"), F.lit("near_standard"))
         .otherwise(never)
         .alias("drop_reason"),
     )
     sides = F.explode(F.array(standard_side, dialect_side)).alias("c")
-    return df.select("id", "split", sides).select("id", "split", "c.*")
+    return df.withColumn("_near", near).select("id", "split", sides).select("id", "split", "c.*")
 
 
 def label_collisions(rows: DataFrame) -> DataFrame:

@@ -24,11 +24,6 @@ def hash_key(seed: int | str, *parts: Column | str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[v.cast("string") for v in values]))
 
 
-def hash_below(key: Column, n: Column) -> Column:
-    """Uniform integer in [0, n) from a hash key."""
-    return F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") % n
-
-
 def _bucket_offsets(df: DataFrame, groups: Sequence[str], key: str) -> DataFrame:
     bucket = F.substring(key, 1, BUCKET_DIGITS).alias("_bucket")
     sizes = df.groupBy(*groups, bucket).agg(F.count(F.lit(1)).alias("_size"))

@@ -1,6 +1,6 @@
 """Bootstrap significance, repeatable under any partitioning.
 
-Rows get dense positions j per key; draw i of resample b picks position hash(seed:b:i) % n.
+Rows get dense positions j per key; draw i of resample b picks position mix(seed, b, i) % n.
 Draws are generated from the rows themselves (row i emits its B draws), so no task builds
 B x n values, and draws meet the values in an equi-join on (key, position), which is uniform
 whatever the key sizes. `poisson_counts` is the form for very large n: a hash gives each row a
@@ -14,11 +14,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pairloom.operators.ordering import hash_below, hash_key, with_position
+from pairloom.operators.ordering import hash_key, with_position
 from pairloom.session import cut_lineage
 
 
 _MICRO = 1_000_000
+_WORD = (1 << 32) - 1
+_MIX = 0x45D9F3B  # multiplier of a public 32-bit integer hash; products stay below 2**63
+
+
+def mix_number(x: int) -> int:
+    """32-bit integer hash of a number (driver side, for the constants of a resample)."""
+    for _ in range(2):
+        x = (((x >> 16) ^ x) * _MIX) & _WORD
+    return (x >> 16) ^ x
+
+
+def mix(x: Column) -> Column:
+    """The same hash as a column of values below 2**32; plain long arithmetic."""
+    for _ in range(2):
+        folded = F.shiftright(x, 16).bitwiseXOR(x)
+        x = (folded * F.lit(_MIX).cast("bigint")).bitwiseAND(F.lit(_WORD))
+    return F.shiftright(x, 16).bitwiseXOR(x)
+
+
+def resample_keys(n_boot: int, seed: int) -> list[tuple[int, int, int]]:
+    """(b, high key, low key) of every resample."""
+    return [
+        (b, mix_number(mix_number(seed & _WORD) ^ (2 * b)), mix_number(mix_number(seed & _WORD) ^ (2 * b + 1)))
+        for b in range(n_boot)
+    ]
+
+
+def _each_resample(n_boot: int, seed: int) -> Column:
+    keys = [
+        F.struct(F.lit(b).alias("b"), F.lit(h).cast("bigint").alias("hi"), F.lit(w).cast("bigint").alias("lo"))
+        for b, h, w in resample_keys(n_boot, seed)
+    ]
+    return F.inline(F.array(*keys))
+
+
+def _word(number: Column) -> Column:
+    """A long folded to 32 bits; numbers below 2**32 stay as they are."""
+    return number.bitwiseAND(F.lit(_WORD)).bitwiseXOR(
+        (F.shiftright(number, 32) * F.lit(40503).cast("bigint")).bitwiseAND(F.lit(_WORD))
+    )
+
+
+def pick(number: Column, n: Column) -> Column:
+    """Position in [0, n) of a draw, from 62 hashed bits (n may exceed 2**32)."""
+    high = mix(_word(number).bitwiseXOR(F.col("hi")))
+    low = mix(_word(number).bitwiseXOR(F.col("lo")))
+    return (F.shiftleft(high, 30) + F.shiftright(low, 2)) % n
 
 
 def _micro(value: Column | str) -> Column:
@@ -37,14 +84,9 @@ def _resample(
         )
     )
     draws = placed.select(
-        *keys,
-        "_n",
-        F.col("position").alias("_i"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"),
-    )
-    drawn = draws.select(
-        *keys, "_n", "b", hash_below(hash_key(seed, "b", "_i"), F.col("_n")).alias("position")
+        *keys, "_n", F.col("position").alias("_i"), _each_resample(n_boot, seed)
     )
+    drawn = draws.select(*keys, "_n", "b", pick(F.col("_i"), F.col("_n")).alias("position"))
     return (
         drawn.join(placed.drop("_n"), [*keys, "position"])
         .groupBy(*keys, "b", "_n")
@@ -145,17 +187,29 @@ def paired_bootstrap(
 # ---- Poisson form ----------------------------------------------------------------------
 
 
-def poisson_weight(key: Column, most: int = 12) -> Column:
-    """Poisson(1) count from a hash key, by inverse of the distribution function."""
-    u = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(16**8)
-    weight, mass, below = F.lit(0), math.exp(-1.0), 0.0
+def poisson_cuts(most: int = 12) -> list[int]:
+    """Cut points of the Poisson(1) distribution function on 32-bit hashes."""
+    mass, below, cuts = math.exp(-1.0), 0.0, []
     for k in range(most):
         below += mass
-        weight = weight + F.when(u >= below, 1).otherwise(0)
+        cuts.append(math.ceil(below * (_WORD + 1)))
         mass /= k + 1
+    return cuts
+
+
+def poisson_weight(hashed: Column) -> Column:
+    """Poisson(1) count from a 32-bit hash column, by inverse of the distribution function."""
+    weight = F.lit(0)
+    for cut in poisson_cuts():
+        weight = weight + F.when(hashed >= cut, 1).otherwise(0)
     return weight
 
 
+def row_number_hash(key: str) -> Column:
+    """60 hashed bits of a row key of any type."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 15), 16, 10).cast("bigint")
+
+
 def poisson_bootstrap(
     differences: DataFrame,
     keys: Sequence[str] = ("region", "run"),
@@ -163,12 +217,13 @@ def poisson_bootstrap(
     seed: int = 1234,
 ) -> DataFrame:
     """Paired bootstrap with Poisson weights: map-side partial sums, no join of draws."""
-    draws = differences.select(
-        *keys, "id", "diff", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
+    rows = differences.select(*keys, row_number_hash("id").alias("_r"), _micro("diff").alias("_v"))
+    draws = rows.select(*keys, "_r", "_v", _each_resample(n_boot, seed))
+    hashed = draws.select(
+        *keys, "b", "_v", mix(_word(F.col("_r")).bitwiseXOR(F.col("hi"))).alias("_h")
     )
-    weighted = draws.withColumn("w", poisson_weight(hash_key(seed, "b", "id")))
-    sums = weighted.groupBy(*keys, "b").agg(
-        F.sum(F.col("w") * _micro("diff")).alias("total")
+    sums = hashed.groupBy(*keys, "b").agg(
+        F.sum(poisson_weight(F.col("_h")) * F.col("_v")).alias("total")
     )
     delta = differences.groupBy(*keys).agg(F.avg("diff").alias("delta"))
     counted = delta.join(_count_signs(sums, keys), list(keys))

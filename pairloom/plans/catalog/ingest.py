@@ -149,7 +149,7 @@ def legacy_files(spark, sf):
     turns = V.texts(spark, sf, "conversations", "conv_id", "turn", "text").select(
         "conv_id",
         "turn",
-        F.filter(V._latin_sentences("text"), lambda s: s.rlike("[A-Za-z]")).alias("parts"),
+        F.filter(V.latin_sentences("text"), lambda s: s.rlike("[A-Za-z]")).alias("parts"),
     )
     tail = " (aq)/(a) ((zz)) {laugh} #um &name1& (unclear) ]"
     utterances = F.transform(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from itertools import accumulate
-
 from pyspark.sql import functions as F
 
 from pairloom.constants import LEADERBOARD_METRICS, METRIC_SPECS
@@ -13,7 +10,7 @@ from pairloom.plans import jobs, views as V
 from pairloom.plans.catalog.metrics import BY, ROW, wide_sql
 from pairloom.plans.catalog.registry import query
 from pairloom.plans.catalog.text import quoted
-from pairloom.plans.sql import HASH32, bleu_ctes, bleu_of, with_views
+from pairloom.plans.sql import bleu_ctes, bleu_of, with_views
 
 B_DRAWS = 100
 
@@ -259,7 +256,21 @@ def ldb17(spark, sf):
 POOLED = "SELECT region, run, id, score FROM scores UNION ALL SELECT 'OVERALL', run, id, score FROM scores"
 DIFFS = """SELECT a.region, a.run, a.id, a.score - b.score AS diff FROM pooled a JOIN pooled b ON b.region = a.region AND b.id = a.id AND b.run = 'base' WHERE a.run <> 'base'"""
 PLACED = """SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY md5('order:' || id), id) - 1 AS j, count(*) OVER (PARTITION BY region, run) AS n FROM {source}"""
-DRAWS = f"""SELECT region, run, n, b, {HASH32.format(x="'1234:' || b || ':' || j")} % n AS pick FROM placed, range(0, {B_DRAWS}) t(b)"""
+KEYS = "SELECT * FROM (VALUES " + ", ".join(f"({b}, {h}::BIGINT, {w}::BIGINT)" for b, h, w in S.resample_keys(B_DRAWS, 1234)) + ") AS t(b, hi, lo)"
+
+
+def mix_sql(x: str) -> str:
+    for _ in range(2):
+        x = f"((xor(({x}) >> 16, {x}) * 73244475) & 4294967295)"
+    return f"xor({x} >> 16, {x})"
+
+
+def word_sql(x: str) -> str:
+    return f"xor({x} & 4294967295, (({x} >> 32) * 40503) & 4294967295)"
+
+
+DRAWS = f"""SELECT region, run, n, b, ((high << 30) + (low >> 2)) % n AS pick FROM (
+SELECT region, run, n, b, {mix_sql("xor(w, hi)")} AS high, {mix_sql("xor(w, lo)")} AS low FROM (SELECT region, run, n, b, hi, lo, {word_sql("j")} AS w FROM placed, resamples))"""
 VERDICT = f"""SELECT region, run, round(delta, 6) AS delta, round(p, 6) AS p_value, round(wins / {B_DRAWS}.0::DOUBLE, 6) AS win_rate, p < 0.05 AS significant_05 FROM (
 SELECT *, CASE WHEN delta = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2.0::DOUBLE * (CASE WHEN delta > 0 THEN losses + ties ELSE wins + ties END) / {B_DRAWS}) END AS p FROM (
 SELECT region, run, count(*) FILTER (total > 0) AS wins, count(*) FILTER (total < 0) AS losses, count(*) FILTER (total = 0) AS ties FROM sums GROUP BY region, run)
@@ -272,6 +283,7 @@ JOIN (SELECT region, run, avg(diff) AS delta FROM diffs GROUP BY region, run) US
         "scores",
         f"""SELECT region, run, round_even(mean, 4) AS mean, round_even(max(m) FILTER (rn = {int(0.025 * B_DRAWS)}), 4) AS ci_lo, round_even(max(m) FILTER (rn = {min(B_DRAWS - 1, int(0.975 * B_DRAWS))}), 4) AS ci_hi
 FROM (SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY m, b) - 1 AS rn FROM sums) JOIN (SELECT region, run, avg(score) AS mean FROM scores GROUP BY region, run) USING (region, run) GROUP BY region, run, mean""",
+        resamples=KEYS,
         placed=PLACED.format(source="scores"),
         draws=DRAWS,
         sums="SELECT d.region, d.run, b, sum(round(score * 1000000)::BIGINT) / max(d.n)::DOUBLE / 1000000 AS m FROM draws d JOIN placed p ON p.region = d.region AND p.run = d.run AND p.j = pick GROUP BY d.region, d.run, b",
@@ -283,7 +295,7 @@ def sig01(spark, sf):
 
 
 BOOT_SUMS = "SELECT d.region, d.run, b, sum(round(diff * 1000000)::BIGINT) AS total FROM draws d JOIN placed p ON p.region = d.region AND p.run = d.run AND p.j = pick GROUP BY d.region, d.run, b"
-BOOT = {"pooled": POOLED, "diffs": DIFFS, "placed": PLACED.format(source="diffs"), "draws": DRAWS, "sums": BOOT_SUMS}
+BOOT = {"pooled": POOLED, "diffs": DIFFS, "resamples": KEYS, "placed": PLACED.format(source="diffs"), "draws": DRAWS, "sums": BOOT_SUMS}
 
 
 @query("sig02_paired_bootstrap", with_views("scores", VERDICT, **{**BOOT, "pooled": "SELECT * FROM scores"}))
@@ -292,9 +304,7 @@ def sig02(spark, sf):
     return S.paired_bootstrap(differences, n_boot=B_DRAWS).drop("n_boot")
 
 
-# cumulative Poisson(1) probabilities, the cut points of the inverse distribution function
-CUTS = list(accumulate(math.exp(-1.0) / math.factorial(k) for k in range(12)))
-WEIGHT = "(" + " + ".join(f"(u >= {cut!r}::DOUBLE)::INTEGER" for cut in CUTS) + ")"
+WEIGHT = "(" + " + ".join(f"(h >= {cut})::INTEGER" for cut in S.poisson_cuts()) + ")"
 
 
 @query(
@@ -304,8 +314,9 @@ WEIGHT = "(" + " + ".join(f"(u >= {cut!r}::DOUBLE)::INTEGER" for cut in CUTS) +
         VERDICT,
         pooled="SELECT * FROM scores",
         diffs=DIFFS,
-        sums=f"""SELECT region, run, b, sum({WEIGHT} * round(diff * 1000000)::BIGINT) AS total FROM (
-SELECT *, {HASH32.format(x="'1234:' || b || ':' || id")} / 4294967296.0::DOUBLE AS u FROM diffs, range(0, {B_DRAWS}) t(b)) GROUP BY region, run, b""",
+        resamples=KEYS,
+        sums=f"""SELECT region, run, b, sum({WEIGHT} * v) AS total FROM (SELECT region, run, b, v, {mix_sql("xor(w, hi)")} AS h FROM (
+SELECT region, run, b, hi, v, {word_sql("r")} AS w FROM (SELECT region, run, ('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT AS r, round(diff * 1000000)::BIGINT AS v FROM diffs), resamples)) GROUP BY region, run, b""",
     ),
 )
 def sig02_poisson(spark, sf):

@@ -18,7 +18,7 @@ RUNS = ("base", "arm1", "arm2")
 BASELINE = "base"
 
 _SENTENCE = r"[^.!?\n]+[.!?]?"
-_NOT_LATIN = r"[^A-Za-z.,?!]+"
+_NOT_LATIN = r"[^A-Za-z.,?!\n]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,32 +30,44 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spread(table(spark, sf_dir, name).select(*columns))
 
 
-def _latin_sentences(text: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0))
-    return F.transform(found, lambda s: F.trim(F.regexp_replace(s, _NOT_LATIN, " ")))
+def latin_sentences(text: str) -> Column:
+    """All sentences of a text with runs of other characters as one space."""
+    cleaned = F.regexp_replace(text, _NOT_LATIN, " ")
+    return F.transform(F.regexp_extract_all(cleaned, F.lit(_SENTENCE), F.lit(0)), lambda s: F.trim(s))
 
 
 def _variant(standard: Column) -> Column:
     out = F.replace(standard, F.lit("th"), F.lit("d"))
-    out = F.regexp_replace(out, r"n([ .,])", r"ng$1")
-    return F.regexp_replace(out, r"e([ .,])", r"ay$1")
-
-
-def _with_dialect(rows: DataFrame) -> DataFrame:
-    """Rows with `standard, previous, k` get their dialect side and identity flag."""
-    k, standard = F.col("k"), F.col("standard")
-    swapped = (k % 20 == 13) & F.coalesce(F.col("previous").rlike("[A-Za-z]"), F.lit(False))
-    dialect = (
-        F.when(k % 5 == 0, standard)
-        .when(k % 5 == 1, F.concat(standard, F.lit(" ya")))
-        .when(swapped, F.col("previous"))
-        .otherwise(_variant(standard))
-    )
-    return (
-        rows.filter(standard.rlike("[A-Za-z]"))
-        .withColumn("dialect", dialect)
-        .withColumn("is_identical", F.col("standard") == F.col("dialect"))
-        .drop("previous")
+    for ending, changed in (("n", "ng"), ("e", "ay")):
+        for after in " .,":
+            out = F.replace(out, F.lit(ending + after), F.lit(changed + after))
+    return out
+
+
+def _pair_rows(rows: DataFrame, keys: list[str], first_k: Column) -> DataFrame:
+    """One row per sentence of `parts`: keys, `at`, `k`, `standard`, `dialect`, `is_identical`.
+
+    The pair is built inside the exploded array, so later filters do not repeat the work.
+    """
+    letters = "[A-Za-z]"
+
+    def pair(standard: Column, at: Column) -> Column:
+        k = first_k + at + 1
+        previous = F.get("parts", at - 1)
+        swapped = (k % 20 == 13) & (at > 0) & F.coalesce(previous.rlike(letters), F.lit(False))
+        dialect = (
+            F.when(k % 5 == 0, standard)
+            .when(k % 5 == 1, F.concat(standard, F.lit(" ya")))
+            .when(swapped, previous)
+            .otherwise(_variant(standard))
+        )
+        return F.struct(
+            at.alias("at"), k.alias("k"), standard.alias("standard"), dialect.alias("dialect")
+        )
+
+    used = F.filter(F.transform("parts", pair), lambda p: p["standard"].rlike(letters))
+    return rows.select(*keys, F.inline(used)).withColumn(
+        "is_identical", F.col("standard") == F.col("dialect")
     )
 
 
@@ -67,17 +79,20 @@ def _region_by(key: str) -> Column:
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`id, doc_id, k, standard, dialect, is_identical, do, split` from documents."""
     parts = texts(spark, sf_dir, "documents", "doc_id", "text").select(
-        "doc_id", _latin_sentences("text").alias("parts")
+        "doc_id", latin_sentences("text").alias("parts")
     )
-    rows = parts.select("doc_id", "parts", F.posexplode("parts").alias("at", "standard")).select(
+    rows = _pair_rows(parts, ["doc_id"], F.col("doc_id"))
+    split = F.when((F.col("doc_id") % 10).isin(0, 7), F.lit("valid")).otherwise(F.lit("train"))
+    return rows.select(
         (F.col("doc_id") * 1_000_000 + F.col("at") + 1).alias("id"),
         "doc_id",
-        (F.col("doc_id") + F.col("at") + 1).alias("k"),
+        "k",
         "standard",
-        F.when(F.col("at") > 0, F.get("parts", F.col("at") - 1)).alias("previous"),
+        "dialect",
+        "is_identical",
+        _region_by("doc_id").alias("do"),
+        split.alias("split"),
     )
-    split = F.when((F.col("doc_id") % 10).isin(0, 7), F.lit("valid")).otherwise(F.lit("train"))
-    return _with_dialect(rows).withColumn("do", _region_by("doc_id")).withColumn("split", split)
 
 
 def _mark(number: Column) -> Column:
@@ -114,20 +129,19 @@ def f0(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`id, conv_id, k, standard, dialect, is_identical, do, direction` from conversations."""
     parts = texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
-        "conv_id", "turn", _latin_sentences("text").alias("parts")
+        "conv_id", "turn", latin_sentences("text").alias("parts")
     )
-    rows = parts.select(
-        "conv_id", "turn", "parts", F.posexplode("parts").alias("at", "standard")
-    ).select(
+    rows = _pair_rows(parts, ["conv_id", "turn"], F.col("conv_id") + F.col("turn"))
+    direction = F.when(F.col("conv_id") % 4 == 3, F.lit("dia2std")).otherwise(F.lit("std2dia"))
+    return rows.select(
         (F.col("conv_id") * 1_000_000 + F.col("turn") * 1000 + F.col("at") + 1).alias("id"),
         "conv_id",
-        (F.col("conv_id") + F.col("turn") + F.col("at") + 1).alias("k"),
+        "k",
         "standard",
-        F.when(F.col("at") > 0, F.get("parts", F.col("at") - 1)).alias("previous"),
-    )
-    direction = F.when(F.col("conv_id") % 4 == 3, F.lit("dia2std")).otherwise(F.lit("std2dia"))
-    return _with_dialect(rows).withColumn("do", _region_by("conv_id")).withColumn(
-        "direction", direction
+        "dialect",
+        "is_identical",
+        _region_by("conv_id").alias("do"),
+        direction.alias("direction"),
     )
 
 
@@ -264,7 +278,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     every third word carries a standard form that differs from the dialect form.
     """
     turns = texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(
-        "conv_id", "turn", F.filter(_latin_sentences("text"), lambda s: s.rlike("[A-Za-z]")).alias("parts")
+        "conv_id", "turn", F.filter(latin_sentences("text"), lambda s: s.rlike("[A-Za-z]")).alias("parts")
     )
     number = F.col("conv_id") + F.col("turn")
 

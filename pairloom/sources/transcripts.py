@@ -27,7 +27,7 @@ SENTENCE_COLUMNS = (
     "id", "do", "split", "speech_kind", "standard", "dialect", "is_identical",
     "dialect_eojeol_map", "prosody", "prosody_marker", "dialect_eojeol_prosody", "intent", "emotion",
 )
-_ALIGN_STATE = f"struct<s:int,d:int,m:{schemas.WORD_MAP}>"
+_ALIGN_STATE = f"struct<sc:int,si:int,dc:int,di:int,m:{schemas.WORD_MAP}>"
 
 
 # ---- files ------------------------------------------------------------------------------
@@ -89,10 +89,13 @@ def decode_json(text: Column | str, schema: str) -> Column:
 
 def seconds(timecode: Column | str) -> Column:
     """`HH:MM:SS.mmm` in seconds; null when it is malformed."""
-    parts = F.split(col(timecode), ":")
-    h, m = (F.get(parts, i).try_cast("int") for i in (0, 1))
-    s = F.get(parts, 2).try_cast("double")
-    return F.when(F.size(parts) == 3, h * 3600 + m * 60 + s)
+
+    def total(parts: Column) -> Column:
+        h, m = (F.get(parts, i).try_cast("int") for i in (0, 1))
+        s = F.get(parts, 2).try_cast("double")
+        return F.when(F.size(parts) == 3, h * 3600 + m * 60 + s)
+
+    return bind(F.split(col(timecode), ":"), total)
 
 
 # ---- path metadata ----------------------------------------------------------------------
@@ -137,41 +140,54 @@ def legacy_split(path: Column | str) -> Column:
 # ---- word alignment ---------------------------------------------------------------------
 
 
-def _find(haystack: Column, start: Column, needle: Column) -> Column:
-    """Index of the first run of words at or after `start`, -1 if there is none.
+def _padded(words_: Column) -> Column:
+    """Words as one string with a blank around each: ` a b `."""
+    return F.concat(F.lit(" "), F.array_join(words_, " "), F.lit(" "))
 
-    Words hold no blanks, so a substring search over the space-joined rest stops at the first
-    match and costs no comparison per start position.
-    """
-    rest = F.slice(haystack, start + 1, F.greatest(F.size(haystack), F.lit(1)))
-    text = F.concat(F.lit(" "), F.array_join(rest, " "), F.lit(" "))
-    at = F.instr(text, F.concat(F.lit(" "), F.array_join(needle, " "), F.lit(" ")))
-    before = F.substring(text, F.lit(1), at)
-    skipped = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1
-    return (
-        F.when(F.size(needle) == 0, start).when(at > 0, start + skipped).otherwise(F.lit(-1))
-    )
+
+def _blanks_in(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def align_words(standard: Column | str, dialect: Column | str, segments: Column | str) -> Column:
     """Word map of a sentence from its time-ordered segments `{standard, dialect, pronunciation}`.
 
-    A fold with one pointer into each word list. A segment with a standard form needs a match on
+    A fold with one pointer into each sentence. A segment with a standard form needs a match on
     both sides and adds entries (one per word when the counts agree, else one for the whole
-    segment); a segment without one only moves the pointers.
+    segment); a segment without one only moves the pointers. Words hold no blanks, so a run of
+    words is found by a substring search from the pointer, which is a character place (`sc`,
+    `dc`) next to the index of the word that starts there (`si`, `di`).
     """
     prepared = F.transform(
         col(segments),
-        lambda g: F.struct(
-            g["standard"].isNull().alias("same"),
-            strip(g["standard"]).alias("standard"),
-            strip(F.coalesce(g["dialect"], F.lit(""))).alias("dialect"),
-            words(F.coalesce(g["standard"], g["dialect"], F.lit(""))).alias("sw"),
-            words(F.coalesce(g["dialect"], F.lit(""))).alias("dw"),
-            g["pronunciation"].alias("pronunciation"),
+        lambda g: bind(
+            F.struct(
+                g["standard"].isNull().alias("same"),
+                words(F.coalesce(g["standard"], g["dialect"], F.lit(""))).alias("sw"),
+                words(F.coalesce(g["dialect"], F.lit(""))).alias("dw"),
+            ),
+            lambda w: F.struct(
+                w["same"].alias("same"),
+                w["sw"].alias("sw"),
+                w["dw"].alias("dw"),
+                _padded(w["sw"]).alias("s_text"),
+                _padded(w["dw"]).alias("d_text"),
+                strip(g["standard"]).alias("standard"),
+                strip(F.coalesce(g["dialect"], F.lit(""))).alias("dialect"),
+                g["pronunciation"].alias("pronunciation"),
+            ),
         ),
     )
 
+    def search(sentence: Column, start: Column, needle: Column, run: Column) -> Column:
+        """Character place of the first match at or after `start`; 0 if there is none."""
+        at = F.call_function("locate", needle, sentence, start)
+        return F.when(F.size(run) == 0, start).otherwise(at)
+
+    def index(sentence: Column, at: Column, start: Column, first: Column) -> Column:
+        skipped = _blanks_in(F.substring(sentence, start, at - start))
+        return F.when(at > start, first + skipped).otherwise(first)
+
     def entry(s_at, d_at, d_text, s_text, spoken) -> Column:
         return F.struct(
             s_at.alias("standard_idx"),
@@ -182,41 +198,62 @@ def align_words(standard: Column | str, dialect: Column | str, segments: Column
             spoken.alias("pronunciation"),
         )
 
-    def step(both_words: Column, state: Column, g: Column) -> Column:
-        found = F.struct(
-            _find(both_words["s"], state["s"], g["sw"]).alias("s"),
-            _find(both_words["d"], state["d"], g["dw"]).alias("d"),
+    def step(text: Column, state: Column, g: Column) -> Column:
+        places = F.struct(
+            search(text["s"], state["sc"], g["s_text"], g["sw"]).alias("s"),
+            search(text["d"], state["dc"], g["d_text"], g["dw"]).alias("d"),
         )
 
         def advance(at: Column) -> Column:
-            one_to_one = F.transform(
-                F.arrays_zip(g["sw"].alias("sw"), g["dw"].alias("dw")),
-                lambda w, k: entry(at["s"] + k, at["d"] + k, w["dw"], w["sw"], g["pronunciation"]),
+            both = (at["s"] > 0) & (at["d"] > 0)
+            adds = ~g["same"] & both
+            moves_s, moves_d = ((at[k] > 0) & (g["same"] | both) for k in ("s", "d"))
+            return bind(
+                F.struct(
+                    index(text["s"], at["s"], state["sc"], state["si"]).alias("s"),
+                    index(text["d"], at["d"], state["dc"], state["di"]).alias("d"),
+                ),
+                lambda i: F.struct(
+                    _moved(moves_s, at["s"], g["s_text"], g["sw"], state["sc"]).alias("sc"),
+                    F.when(moves_s, i["s"] + F.size(g["sw"])).otherwise(state["si"]).alias("si"),
+                    _moved(moves_d, at["d"], g["d_text"], g["dw"], state["dc"]).alias("dc"),
+                    F.when(moves_d, i["d"] + F.size(g["dw"])).otherwise(state["di"]).alias("di"),
+                    F.when(adds, F.concat(state["m"], entries(g, i))).otherwise(state["m"]).alias("m"),
+                ).cast(_ALIGN_STATE),
             )
-            whole = F.array(entry(at["s"], at["d"], g["dialect"], g["standard"], g["pronunciation"]))
-            added = F.when(F.size(g["sw"]) == F.size(g["dw"]), one_to_one).otherwise(whole)
-            both = (at["s"] >= 0) & (at["d"] >= 0)
-            moves_s = (at["s"] >= 0) & (g["same"] | both)
-            moves_d = (at["d"] >= 0) & (g["same"] | both)
-            return F.struct(
-                F.when(moves_s, at["s"] + F.size(g["sw"])).otherwise(state["s"]).alias("s"),
-                F.when(moves_d, at["d"] + F.size(g["dw"])).otherwise(state["d"]).alias("d"),
-                F.when(~g["same"] & both, F.concat(state["m"], added.cast(schemas.WORD_MAP)))
-                .otherwise(state["m"])
-                .alias("m"),
-            ).cast(_ALIGN_STATE)
-
-        return bind(found, advance)
+
+        return bind(places, advance)
+
+    def entries(g: Column, i: Column) -> Column:
+        one_to_one = F.transform(
+            F.arrays_zip(g["sw"].alias("sw"), g["dw"].alias("dw")),
+            lambda w, k: entry(i["s"] + k, i["d"] + k, w["dw"], w["sw"], g["pronunciation"]),
+        )
+        whole = F.array(entry(i["s"], i["d"], g["dialect"], g["standard"], g["pronunciation"]))
+        same_count = F.size(g["sw"]) == F.size(g["dw"])
+        return F.when(same_count, one_to_one).otherwise(whole).cast(schemas.WORD_MAP)
 
     start = F.struct(
-        F.lit(0).alias("s"), F.lit(0).alias("d"), F.array().cast(schemas.WORD_MAP).alias("m")
+        F.lit(1).alias("sc"),
+        F.lit(0).alias("si"),
+        F.lit(1).alias("dc"),
+        F.lit(0).alias("di"),
+        F.array().cast(schemas.WORD_MAP).alias("m"),
     ).cast(_ALIGN_STATE)
     return bind(
-        F.struct(words(standard).alias("s"), words(dialect).alias("d")),
-        lambda w: F.aggregate(prepared, start, lambda st, g: step(w, st, g), lambda st: st["m"]),
+        F.struct(_padded(words(standard)).alias("s"), _padded(words(dialect)).alias("d")),
+        lambda text: F.aggregate(
+            prepared, start, lambda state, g: step(text, state, g), lambda state: state["m"]
+        ),
     )
 
 
+def _moved(moves: Column, at: Column, needle: Column, run: Column, before: Column) -> Column:
+    """Pointer on the blank behind the match."""
+    behind = F.when(F.size(run) == 0, before).otherwise(at + F.length(needle) - 1)
+    return F.when(moves, behind).otherwise(before)
+
+
 def tag_of(items: Column, sentence_id: Column) -> Column:
     """Tag of the first annotation item with this sentence id."""
     hits = F.filter(items, lambda it: it["sentenceId"].eqNullSafe(sentence_id))
@@ -254,7 +291,7 @@ def decode_transcripts(files: DataFrame) -> DataFrame:
             F.when(F.coalesce(g["startTime"], F.lit("")) == "", F.lit(-1.0))
             .otherwise(seconds(g["startTime"]))
             .alias("at"),
-            seconds(g["startTime"]).alias("start_s"),
+            (F.coalesce(g["startTime"], F.lit("")) != "").alias("has_start"),
             seconds(g["endTime"]).alias("end_s"),
             (F.coalesce(g["endTime"], F.lit("")) != "").alias("has_end"),
             g["standard"].alias("standard"),
@@ -310,21 +347,27 @@ def _field(name: str) -> str:
 
 def parse(files: DataFrame) -> DataFrame:
     """Sentence rows of the current format, one `error` row per failed file."""
-    decoded = decode_transcripts(files)
-    # a failed file keeps one null element, so explode emits exactly one row for it
-    usable = F.when(F.col("error").isNull(), F.col("sentences"))
-    rows = decoded.select(
-        "path", "name", "segments", "intents", "emotions", "error", F.explode_outer(usable).alias("s")
+    documents = decode_transcripts(files)
+    # each sentence takes its own segments along; a failed file keeps one null element, so
+    # explode emits exactly one row for it
+    own = F.transform(
+        "sentences",
+        lambda s: s.withField(
+            "near", segments_between(F.col("segments"), s["start_s"], s["end_s"])
+        ),
+    )
+    rows = documents.select(
+        "path", "name", "intents", "emotions", "error",
+        F.explode_outer(F.when(F.col("error").isNull(), own)).alias("s"),
     )
     start, end = F.col("s.start_s"), F.col("s.end_s")
-    rows = rows.withColumn("near", segments_between(F.col("segments"), start, end)).drop("segments")
     timed = F.transform(
         F.filter(
-            "near",
-            lambda g: ~_blank(g["dialect"]) & g["start_s"].isNotNull() & g["end_s"].isNotNull(),
+            "s.near",
+            lambda g: ~_blank(g["dialect"]) & g["has_start"] & g["has_end"],
         ),
         lambda g: F.struct(
-            strip(g["dialect"]).alias("word"), g["start_s"].alias("start_s"), g["end_s"].alias("end_s")
+            strip(g["dialect"]).alias("word"), g["at"].alias("start_s"), g["end_s"].alias("end_s")
         ),
     )
     ok = F.col("error").isNull()
@@ -338,7 +381,7 @@ def parse(files: DataFrame) -> DataFrame:
         standard.alias("standard"),
         dialect.alias("dialect"),
         (standard == dialect).alias("is_identical"),
-        align_words("s.standard", "s.dialect", "near").alias("dialect_eojeol_map"),
+        align_words("s.standard", "s.dialect", "s.near").alias("dialect_eojeol_map"),
         "prosody",
         contour_marker("prosody").alias("prosody_marker"),
         marked_words("s.intonations", start, end, timed)

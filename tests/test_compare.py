@@ -135,11 +135,22 @@ def test_poisson_agrees_with_resampling(spark):
     weighted = S.poisson_bootstrap(differences, n_boot=400).first()
     assert exact.delta == weighted.delta
     assert abs(exact.p_value - weighted.p_value) < 0.1
-    draws = spark.range(20000).select(S.poisson_weight(O.hash_key(1, "id")).alias("w"))
+    draws = spark.range(20000).select(S.poisson_weight(S.mix(F.col("id"))).alias("w"))
     mean, var = draws.agg(F.avg("w"), F.var_samp("w")).first()
     assert abs(mean - 1) < 0.03 and abs(var - 1) < 0.06
 
 
+def test_draws_are_uniform_and_match_the_driver(spark):
+    assert spark.range(50).select(S.mix(F.col("id")).alias("m")).collect() == [(S.mix_number(i),) for i in range(50)]
+    rows = spark.range(40_000).select(F.col("id"), S._each_resample(2, 9))
+    picks = rows.select("b", S.pick(F.col("id"), F.lit(40_000)).alias("p"))
+    for r in picks.groupBy("b").agg(F.count_distinct("p").alias("d"), F.avg("p").alias("m"), F.min("p"), F.max("p")).collect():
+        assert abs(r.d / 40_000 - (1 - math.exp(-1))) < 0.01  # as many distinct rows as a true resample
+        assert abs(r.m - 20_000) < 400
+    far = spark.range(1).select(F.lit(5 << 33).alias("id"), S._each_resample(1, 9)).select(S.pick(F.col("id"), F.lit(1 << 40)).alias("p"))
+    assert 0 <= far.first().p < 1 << 40
+
+
 def test_ci(spark):
     scores = run_scores(spark, {"a": list(range(100))})
     (got,) = S.bootstrap_ci(scores, ["region", "run"], n_boot=300).collect()
