@@ -97,25 +97,40 @@ def label_collisions(rows: DataFrame) -> DataFrame:
 
 
 def drop_label_collisions(rows: DataFrame) -> DataFrame:
-    """Rows whose text has one label in its split; adaptive skew join splits a hot text."""
+    """Rows whose text has one label in its split; adaptive skew join splits a hot text.
+
+    The gates before this step are the expensive part and both sides read their rows, so these
+    are computed once.
+    """
+    rows = cut_lineage(rows)
     return rows.join(label_collisions(rows), ["split", "text"], "left_anti")
 
 
-def class_caps(
-    rows: DataFrame, max_per_label: int | None, standard_cap_ratio: float | None
+_COLLIDED = -1
+
+
+def _with_caps(
+    counts: DataFrame, max_per_label: int | None, standard_cap_ratio: float | None
 ) -> DataFrame:
-    """Allowed rows per (split, label): the ratio cap for standard first, then the absolute cap."""
-    counts = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    """Adds `cap` to `split, label, n`: the ratio cap for standard first, then the absolute cap."""
     largest = counts.groupBy("split").agg(
-        F.coalesce(F.max(F.when(F.col("label") != STANDARD_LABEL, F.col("n"))), F.lit(0)).alias("top")
+        F.coalesce(F.max(F.when(F.col("label") != STANDARD_LABEL, F.col("n"))), F.lit(0)).alias("_top")
     )
     cap = F.col("n")
     if standard_cap_ratio is not None:
-        ratio_cap = F.floor(F.lit(float(standard_cap_ratio)) * F.col("top"))
-        cap = F.when(F.col("label") == STANDARD_LABEL, F.least(cap, ratio_cap)).otherwise(cap)
+        bound = F.floor(F.lit(float(standard_cap_ratio)) * F.col("_top"))
+        cap = F.when(F.col("label") == STANDARD_LABEL, F.least(cap, bound)).otherwise(cap)
     if max_per_label is not None:
         cap = F.least(cap, F.lit(int(max_per_label)).cast("bigint"))
-    return counts.join(largest, "split").select("split", "label", "n", cap.alias("cap"))
+    return counts.join(largest, "split").withColumn("cap", cap).drop("_top")
+
+
+def class_caps(
+    rows: DataFrame, max_per_label: int | None, standard_cap_ratio: float | None
+) -> DataFrame:
+    """Allowed rows per (split, label)."""
+    counts = rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _with_caps(counts, max_per_label, standard_cap_ratio)
 
 
 def downsample(
@@ -173,59 +188,43 @@ def gate_report(
 ) -> DataFrame:
     """Rows built, dropped by each gate, and left, per split.
 
-    Counts of (split, text, label) carry everything: one aggregate finds the collisions and
-    the class sizes, without joining the texts back.
+    One aggregate by text finds the collisions; it shrinks at once to one row per split, gate
+    and label, and the report is arithmetic on those few rows.
     """
-    candidates = classifier_candidates(df, **gates)
-
-    def dropped(reason: str) -> Column:
-        return F.sum(F.when(F.col("drop_reason") == reason, 1).otherwise(0)).alias(f"n_{reason}")
-
-    reasons = candidates.groupBy("split").agg(
-        F.sum(F.when(F.col("drop_reason").isNull(), 1).otherwise(0)).alias("n_built"),
-        *[dropped(r) for r in ("identical", "near_standard", "polluted")],
+    built = F.col("drop_reason").isNull()
+    by_text = (
+        classifier_candidates(df, **gates)
+        .groupBy("split", "drop_reason", F.when(built, F.col("text")).alias("text"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    )
+    one_label = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(_COLLIDED)
+    cells = cut_lineage(
+        by_text.groupBy("split", "drop_reason", F.when(built, one_label).alias("label")).agg(
+            F.sum("n").alias("n")
+        )
     )
-    per_text = (
-        candidates.filter(F.col("drop_reason").isNull())
-        .groupBy("split", "text", "label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("split", "text")
-        .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.max("label").alias("label"))
+    kept = cells.filter(built & (F.col("label") != _COLLIDED))
+    capped = _with_caps(kept, max_per_label, standard_cap_ratio).withColumn(
+        "cap", F.when(F.col("split").isin(*downsample_splits), F.col("cap")).otherwise(F.col("n"))
     )
-    per_label = per_text.groupBy("split", F.when(F.col("labels") == 1, F.col("label")).alias("label")).agg(
-        F.sum("n").alias("n")
+    left = capped.groupBy("split").agg(F.sum("cap").alias("_left"), F.sum("n").alias("_kept"))
+
+    def rows_of(condition: Column, name: str) -> Column:
+        return F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(name)
+
+    sums = cells.groupBy("split").agg(
+        rows_of(built, "n_built"),
+        *[
+            rows_of(F.col("drop_reason") == r, f"n_{r}")
+            for r in ("identical", "near_standard", "polluted")
+        ],
+        rows_of(built & (F.col("label") == _COLLIDED), "n_collisions"),
     )
-    collided = per_label.filter(F.col("label").isNull()).select("split", F.col("n").alias("n_collisions"))
-    kept = per_label.filter(F.col("label").isNotNull())
-    if max_per_label is None and standard_cap_ratio is None:
-        kept = kept.withColumn("cap", F.col("n"))
-    else:
-        top = kept.groupBy("split").agg(
-            F.coalesce(F.max(F.when(F.col("label") != STANDARD_LABEL, F.col("n"))), F.lit(0)).alias("top")
-        )
-        cap = F.col("n")
-        if standard_cap_ratio is not None:
-            bound = F.floor(F.lit(float(standard_cap_ratio)) * F.col("top"))
-            cap = F.when(F.col("label") == STANDARD_LABEL, F.least(cap, bound)).otherwise(cap)
-        if max_per_label is not None:
-            cap = F.least(cap, F.lit(max_per_label).cast("bigint"))
-        cap = F.when(F.col("split").isin(*downsample_splits), cap).otherwise(F.col("n"))
-        kept = kept.join(top, "split").withColumn("cap", cap)
-    left = kept.groupBy("split").agg(F.sum("cap").alias("n_left"), F.sum("n").alias("_kept"))
     zero = F.lit(0).cast("bigint")
-    return (
-        reasons.join(collided, "split", "left")
-        .join(left, "split", "left")
-        .select(
-            "split",
-            "n_built",
-            "n_identical",
-            "n_near_standard",
-            "n_polluted",
-            F.coalesce("n_collisions", zero).alias("n_collisions"),
-            (F.coalesce("_kept", zero) - F.coalesce("n_left", zero)).alias("n_downsampled"),
-            F.coalesce("n_left", zero).alias("n_left"),
-        )
+    return sums.join(left, "split", "left").select(
+        *sums.columns,
+        (F.coalesce("_kept", zero) - F.coalesce("_left", zero)).alias("n_downsampled"),
+        F.coalesce("_left", zero).alias("n_left"),
     )
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairloom.operators.ordering import hash_key, with_position
-from pairloom.session import cut_lineage
+from pairloom.session import cut_lineage, join_bounded
 
 
 _MICRO = 1_000_000
@@ -88,7 +88,7 @@ def _resample(
     )
     drawn = draws.select(*keys, "_n", "b", pick(F.col("_i"), F.col("_n")).alias("position"))
     return (
-        drawn.join(placed.drop("_n"), [*keys, "position"])
+        join_bounded(drawn, placed.drop("_n"), [*keys, "position"], stored=True)
         .groupBy(*keys, "b", "_n")
         .agg(F.sum("_v").alias("total"))
     )
@@ -178,6 +178,7 @@ def paired_bootstrap(
     seed: int = 1234,
 ) -> DataFrame:
     """Delta, two-sided p and win rate per key from one difference column."""
+    differences = cut_lineage(differences.select(*keys, "id", "diff"))
     sums = _resample(differences, keys, "diff", n_boot, seed)
     delta = differences.groupBy(*keys).agg(F.avg("diff").alias("delta"))
     counted = delta.join(_count_signs(sums, keys), list(keys))

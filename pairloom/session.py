@@ -46,17 +46,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def join_bounded(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 500_000
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    max_rows: int = 500_000,
+    stored: bool = False,
 ) -> DataFrame:
     """Join with a side that is expected to be small; broadcast only if counting proves it.
 
     The small side (sizes per group, cut points, ...) is computed once into the checkpoint
-    folder and counted there. Beyond `max_rows` the join is an ordinary shuffle join.
+    folder, unless it is `stored` already, and counted there. Beyond `max_rows` the join is an
+    ordinary shuffle join.
     """
-    stored = cut_lineage(small)
-    if stored.limit(max_rows + 1).count() <= max_rows:
-        stored = F.broadcast(stored)
-    return big.join(stored, on, how)
+    kept = small if stored else cut_lineage(small)
+    if kept.limit(max_rows + 1).count() <= max_rows:
+        kept = F.broadcast(kept)
+    return big.join(kept, on, how)
 
 
 def spread(df: DataFrame) -> DataFrame:
