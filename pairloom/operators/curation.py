@@ -288,10 +288,9 @@ def class_weights(rows: DataFrame, scheme: str = "balanced", num_labels: int | N
     filled = grid.join(counts, "label", "left").select(
         "label", "k", n.alias("n"), F.greatest(n, F.lit(1)).cast("double").alias("_n")
     )
-    totals = filled.agg(F.sum("_n").alias("_rows"), F.sum(1 / F.col("_n")).alias("_inverse"))
     weight = (
-        F.col("_rows") / (F.col("k") * F.col("_n"))
+        filled.agg(F.sum("_n")).scalar() / (F.col("k") * F.col("_n"))
         if scheme == "balanced"
-        else (1 / F.col("_n")) * F.col("k") / F.col("_inverse")
+        else (1 / F.col("_n")) * F.col("k") / filled.agg(F.sum(1 / F.col("_n"))).scalar()
     )
-    return filled.join(totals).select("label", "n", weight.alias("weight"))  # one total row
+    return filled.select("label", "n", weight.alias("weight"))

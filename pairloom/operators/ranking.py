@@ -182,8 +182,8 @@ def overall_rows(
 def with_overall(run_metrics: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Region rows plus OVERALL rows; the latter only when there are two or more regions."""
     overall = overall_rows(run_metrics, weights)
-    regions = run_metrics.agg(F.count_distinct("region").alias("_regions"))
-    extra = overall.join(regions).filter(F.col("_regions") >= 2)  # a single count row
+    regions = run_metrics.agg(F.count_distinct("region")).scalar()
+    extra = overall.filter(regions >= 2)
     columns = ("region", "run", "run_order", "metric", "value")
     return run_metrics.select(*columns).unionByName(
         extra.withColumn("region", F.lit("OVERALL")).select(*columns)

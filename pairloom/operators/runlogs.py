@@ -53,15 +53,17 @@ def quantization_tradeoff(variants: DataFrame, baseline: str = "fp16") -> DataFr
 
     The baseline row has no deltas; a zero latency gives a null speedup.
     """
-    base = variants.filter(F.col("name") == baseline).select(
-        *[F.col(c).alias(f"_{c}") for c in ("size_mb", "latency_ms_p50", "chrf", "copy_margin")]
-    )
+    named = variants.filter(F.col("name") == baseline)
+    base = {
+        f"_{c}": named.agg(F.max(c)).scalar()
+        for c in ("size_mb", "latency_ms_p50", "chrf", "copy_margin")
+    }
     other = F.col("name") != baseline
 
     def only_other(value: Column, places: int) -> Column:
         return F.when(other, F.round(value, places))
 
-    return variants.join(base, how="left").select(  # one baseline row
+    return variants.withColumns(base).select(
         *variants.columns,
         only_other(
             F.when(F.col("_size_mb") != 0, 100 * F.coalesce("size_mb", F.lit(0.0)) / F.col("_size_mb")), 1
@@ -113,12 +115,10 @@ def step_throughput(
 def compare_throughput(runs: DataFrame, metric: str = "tokens_per_sec") -> DataFrame:
     """Winner and every run's ratio to it (`run, <metric>` rows, one per run)."""
     value = F.coalesce(F.col(metric), F.lit(0.0))
-    best = runs.agg(
-        F.max_by("run", F.struct(value, -F.col("run_order"))).alias("winner"),
-        F.max(value).alias("_best"),
-    )
-    divisor = F.when(F.col("_best") == 0, 1.0).otherwise(F.col("_best"))
-    return runs.join(best).select(  # a single winner row
+    winner = runs.agg(F.max_by("run", F.struct(value, -F.col("run_order")))).scalar()
+    top = runs.agg(F.max(value)).scalar()
+    divisor = F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top"))
+    return runs.withColumns({"winner": winner, "_top": top}).select(
         "run", "winner", F.round(value / divisor, 3).alias("ratio_to_winner")
     )
 
@@ -254,14 +254,8 @@ def latest_artifacts(files: DataFrame) -> DataFrame:
 
 def drop_superseded(artifacts: DataFrame) -> DataFrame:
     """Flat leaderboards go when a multi-region one exists."""
-    multi = artifacts.agg(
-        F.coalesce(F.max((F.col("kind") == "leaderboard_multi").cast("int")), F.lit(0)).alias("_multi")
-    )
-    return (
-        artifacts.join(multi)  # a single flag row
-        .filter((F.col("_multi") == 0) | (F.col("kind") != "leaderboard"))
-        .drop("_multi")
-    )
+    multi = artifacts.agg(F.max((F.col("kind") == "leaderboard_multi").cast("int"))).scalar()
+    return artifacts.filter((F.coalesce(multi, F.lit(0)) == 0) | (F.col("kind") != "leaderboard"))
 
 
 def run_evidence(

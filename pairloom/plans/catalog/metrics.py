@@ -112,10 +112,8 @@ FROM v a JOIN v b ON b.vec_id = (a.vec_id + 1) % a.n JOIN v c ON c.vec_id = (a.v
 )
 def met07(spark, sf):
     vectors = V.table(spark, sf, "embeddings")
-    total = vectors.agg(F.count(F.lit(1)).alias("n"))
-    out = vectors.join(total).select(  # one count row
-        "vec_id", "label", F.col("embedding").alias("out_emb"), "n"
-    )
+    total = vectors.agg(F.count(F.lit(1))).scalar()
+    out = vectors.select("vec_id", "label", F.col("embedding").alias("out_emb"), total.alias("n"))
     for shift, name in ((1, "dia_emb"), (2, "std_emb")):
         other = vectors.select(F.col("vec_id").alias("_other"), F.col("embedding").alias(name))
         out = out.join(other, (F.col("vec_id") + shift) % F.col("n") == F.col("_other")).drop("_other")

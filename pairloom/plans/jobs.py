@@ -29,9 +29,8 @@ def build_corpus(
     seed: int = 42,
 ) -> DataFrame:
     """Transcript files to the sentence table, the failed-file list and the manifest."""
-    files = transcripts.scan(spark, root, encoding=encoding)
-    if sample:
-        files = transcripts.sample_files(files, sample, seed)
+    chosen = transcripts.sample_paths(spark, root, sample, seed) if sample else root
+    files = transcripts.scan(spark, chosen, encoding=encoding)
     parsed = transcripts.parse_legacy(files) if legacy else transcripts.parse(files)
     tables.write_parsed(parsed, out)
     tables.write_json(tables.load_dead_letters(spark, out), out.rstrip("/") + "_failed_files")

@@ -34,7 +34,7 @@ _ALIGN_STATE = f"struct<sc:int,si:int,dc:int,di:int,m:{schemas.WORD_MAP}>"
 
 
 def scan(
-    spark: SparkSession, root: str, pattern: str = "*.json", encoding: str = "utf-8"
+    spark: SparkSession, root: str | list[str], pattern: str = "*.json", encoding: str = "utf-8"
 ) -> DataFrame:
     """All matching files below `root`, whole content per row; none is an error."""
     if encoding.lower().replace("_", "-") in ("utf-8", "utf-8-sig"):
@@ -51,11 +51,25 @@ def scan(
         .load(root)
         .select(F.url_decode(F.col("_metadata.file_path")).alias("path"), content.alias("content"))
     )
-    if not files.inputFiles():
+    if files.select("path").isEmpty():
         raise FileNotFoundError(f"no {pattern} files under {root!r}")
     return files
 
 
+def sample_paths(
+    spark: SparkSession, root: str, k: int, seed: int = 42, pattern: str = "*.json"
+) -> list[str]:
+    """k file paths in a repeatable random order; the listing reads no file content."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .load(root)
+        .select("path")
+    )
+    return [row.path for row in listed.orderBy(hash_key(seed, "path"), "path").limit(k).collect()]
+
+
 def sample_files(files: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k files in a repeatable random order, for a small build."""
     return files.orderBy(hash_key(seed, "path"), "path").limit(k)

@@ -242,6 +242,14 @@ def test_build_from_a_sample_is_repeatable(spark, tmp_path):
     assert picks[0] == picks[1] and len(picks[0]) == 2
 
 
+def test_sampled_build(spark, tmp_path):
+    corpus(tmp_path / "raw")
+    paths = T.sample_paths(spark, str(tmp_path / "raw"), 2, seed=3)
+    assert len(paths) == 2 and paths == T.sample_paths(spark, str(tmp_path / "raw"), 2, seed=3)
+    jobs.build_corpus(spark, str(tmp_path / "raw"), str(tmp_path / "t"), sample=2, seed=3)
+    assert spark.read.parquet(str(tmp_path / "t")).select("file").distinct().count() == 2
+
+
 def test_no_files_is_an_error(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
