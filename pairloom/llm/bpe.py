@@ -264,8 +264,10 @@ def read_spec(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
-def bpe(df: DataFrame, tokenizer: str, text: str = "text", digests_only: bool = False) -> DataFrame:
-    """Adds `n_tokens`, `token_ids` and `decoded` to the rows of `df`.
+def bpe(
+    df: DataFrame, tokenizer: str, text: str = "text", digests_only: bool = False, keep: list[str] | None = None
+) -> DataFrame:
+    """Adds `n_tokens`, `token_ids` and `decoded` to the columns `keep` (default: all) of `df`.
 
     `tokenizer` is the path of the tokenizer file on the driver. With `digests_only` the ids and
     the decoded text are left out in favour of `ids_sha256` and `decoded_sha256`, as for a check of
@@ -275,7 +277,7 @@ def bpe(df: DataFrame, tokenizer: str, text: str = "text", digests_only: bool =
     """
     spec = read_spec(df.sparkSession, tokenizer)
     added = ["ids_sha256", "decoded_sha256"] if digests_only else ["token_ids", "decoded"]
-    keep = [c for c in df.columns if c not in ("n_tokens", *added)]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_tokens", *added)]
     source = df.withColumn("_bpe_text", whole_text(text)).select(*keep, "_bpe_text")
     kinds = "string, decoded_sha256 string" if digests_only else "array<int>, decoded string"
 

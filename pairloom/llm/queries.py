@@ -36,5 +36,5 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 @query("op1_bpe")
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe(docs, tokenizer_path(), digests_only=True).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    return bpe(docs, tokenizer_path(), digests_only=True, keep=["doc_id"])
