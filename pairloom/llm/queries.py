@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.bpe import bpe
+from pairloom.llm.simhash import near_duplicates
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -38,3 +39,8 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe(docs, tokenizer_path(), digests_only=True, keep=["doc_id"])
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
