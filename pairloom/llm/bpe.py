@@ -7,8 +7,8 @@ at once with array operations over the left and right edges of the tokens' merge
 words in which a pair fails are merged one step at a time.
 
 Texts are cut at white space first. A piece between spaces always gives the same tokens, so a
-worker keeps the pieces it has seen (at most `CACHE_PIECES`, then it starts anew; this bounds
-memory and changes no result). The job is one map over the rows: no shuffle, one batch in memory.
+worker keeps the pieces and words it has seen (at most `CACHE_PIECES` and `CACHE_WORDS`, then it
+starts anew; this bounds memory and changes no result). The job is one map over the rows: no shuffle, one batch in memory.
 
 The tokenizer file is JSON of the kind: NFC and lower case, white space dropped, word pattern,
 byte letters, end-of-word mark, special tokens found in the raw text. Letters that Unicode gained
@@ -17,6 +17,7 @@ after version 15 can be classed otherwise than by another library with older tab
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.rows import map_batches, whole_text
 
 CACHE_PIECES = 400_000
+CACHE_WORDS = 500_000
+LONG_WORD = 256
 NEVER = 1 << 30
 
 
@@ -54,17 +57,17 @@ class WordBpe:
         self.words = regex.compile(splits[0]["pattern"]["Regex"])
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = _byte_letters()
-        self.to_letters = str.maketrans({chr(b): c for b, c in self.letters.items()})
         self._merge_tables([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.ids_of: dict[str, bytes] = {}
         self.text_of: dict[str, str] = {}
+        self.word: dict[str, tuple[bytes, str]] = {}
 
     def _merge_tables(self, merges: list[tuple[str, str]]) -> None:
         size = max(self.names) + 1
         left, right = np.full(size, -1), np.full(size, -1)
         rank_of = np.full(size, -1)
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
-        keys, ranks = [], []
+        keys, ranks, products = [], [], []
         for r, (a, b) in enumerate(merges):
             x, y, made = self.ids[a], self.ids[b], self.ids[a + b]
             if (x, y) in self.rank:
@@ -72,12 +75,14 @@ class WordBpe:
             self.rank[x, y] = (r, made)
             keys.append(x * size + y)
             ranks.append(r)
+            products.append(made)
             if rank_of[made] < 0:
                 left[made], right[made], rank_of[made] = x, y, r
         order = np.argsort(keys)
         self.size = size
         self.keys = np.array(keys, dtype=np.int64)[order]
         self.key_ranks = np.array(ranks, dtype=np.int64)[order]
+        self.key_made = np.array(products, dtype=np.int64)[order]
         self.right_edge, self.right_until = self._edges(right, rank_of)
         self.left_edge, self.left_until = self._edges(left, rank_of)
         # a token that its own letters would not be merged to must never be proposed
@@ -87,6 +92,26 @@ class WordBpe:
             if rank_of[i] < 0 or self._merged(self._letters_of(token)) == [i]:
                 self.proposed[token] = i
                 self.longest = max(self.longest, len(token.removesuffix(self.mark)))
+        self._trie_tables()
+
+    def _trie_tables(self) -> None:
+        """A trie of the proposable tokens over bytes: sorted child keys and the tokens at nodes."""
+        byte_of = {c: b for b, c in self.letters.items()}
+        nodes: dict[tuple[int, int], int] = {}
+        ends: dict[tuple[int, bool], int] = {}
+        for token, i in self.proposed.items():
+            body, at = token.removesuffix(self.mark) or token, 0
+            for c in body:
+                at = nodes.setdefault((at, byte_of[c]), len(nodes) + 1)
+            ends[at, body != token] = i
+        self.trie_keys = np.array(sorted(a << 8 | b for a, b in nodes), dtype=np.int64)
+        self.trie_next = np.array([nodes[k >> 8, k & 255] for k in self.trie_keys.tolist()], dtype=np.int64)
+        self.inner, self.final = (np.full(len(nodes) + 1, -1) for _ in range(2))
+        for (at, marked), i in ends.items():
+            (self.final if marked else self.inner)[at] = i
+        letter = [self.ids[self.letters[b]] for b in range(256)]
+        self.byte_id = np.array(letter)
+        self.last_byte_id = np.array([self.ids[self.letters[b] + self.mark] for b in range(256)])
 
     @staticmethod
     def _edges(child: np.ndarray, rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,43 +202,138 @@ class WordBpe:
                 bad[live] = (self.keys[at] == key) & (self.key_ranks[at] <= ends)
         return bad
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Tokens of words in byte letters (without the mark)."""
-        proposals = [self._proposal(w) for w in words]
-        sizes = np.fromiter(map(len, proposals), dtype=np.int64, count=len(words))
-        flat = np.fromiter(chain.from_iterable(proposals), dtype=np.int64, count=int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+    def _proposals(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match in all words at once: (tokens, owner) in the order of the words.
+
+        `flat` holds the bytes of the words, word w from start[w] to stop[w].
+        """
+        words, at = np.arange(len(start)), start.copy()
+        owners, tokens, places = [], [], []
+        while len(words):
+            node, deep = np.zeros(len(words), dtype=np.int64), at[words].copy()
+            best, best_end = np.full(len(words), -1), np.zeros(len(words), dtype=np.int64)
+            live = np.arange(len(words))
+            end = stop[words]
+            while len(live):
+                key = node[live] << 8 | flat[deep[live]]
+                k = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+                hit = self.trie_keys[k] == key
+                live, k = live[hit], k[hit]
+                node[live] = self.trie_next[k]
+                deep[live] += 1
+                last = deep[live] == end[live]
+                found = np.where(last, self.final[node[live]], self.inner[node[live]])
+                good = found >= 0
+                best[live[good]], best_end[live[good]] = found[good], deep[live[good]]
+                live = live[~last]
+            owners.append(words)
+            tokens.append(best)
+            places.append(at[words])
+            at[words] = best_end
+            words = words[best_end < end]
+        owner, token, place = (np.concatenate(x) for x in (owners, tokens, places))
+        order = np.argsort(place)
+        return token[order], owner[order]
+
+    def _merged_words(self, flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words side by side: each round does the next merge of every word."""
+        sizes = stop - start
+        owner = np.repeat(np.arange(len(start)), sizes)
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        letters = flat[np.repeat(start, sizes) + inner]
+        symbol = np.where(inner == sizes[owner] - 1, self.last_byte_id[letters], self.byte_id[letters])
+        done_symbols, done_owners = [], []
+        while len(symbol):
+            rank, made = np.full(len(symbol), NEVER), np.zeros(len(symbol), dtype=np.int64)
+            at = np.flatnonzero(owner[1:] == owner[:-1])
+            key = symbol[at] * self.size + symbol[at + 1]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            rank[at[hit]], made[at[hit]] = self.key_ranks[k[hit]], self.key_made[k[hit]]
+            cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            lowest = np.repeat(np.minimum.reduceat(rank, cuts), np.diff(np.append(cuts, len(owner))))
+            stay = lowest < NEVER
+            done_symbols.append(symbol[~stay])
+            done_owners.append(owner[~stay])
+            best = np.flatnonzero(stay & (rank == lowest))
+            best = best[np.concatenate([[True], owner[best][1:] != owner[best][:-1]])] if len(best) else best
+            symbol[best] = made[best]
+            stay[best + 1] = False
+            symbol, owner = symbol[stay], owner[stay]
+        symbol, owner = np.concatenate(done_symbols), np.concatenate(done_owners)
+        order = np.argsort(owner, kind="stable")
+        return symbol[order], owner[order]
+
+    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Tokens of words given as UTF-8 bytes."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        flat = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        stop = np.cumsum(sizes)
+        start = stop - sizes
+        short = np.flatnonzero(sizes <= LONG_WORD)
+        token, owner = self._proposals(flat, start[short], stop[short])
         inside = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, where = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
+        pairs, where = np.unique(token[inside] * self.size + token[inside + 1], return_inverse=True)
         bad = self._conflicts(pairs // self.size, pairs % self.size)
-        for k in np.unique(owner[inside[bad[where]]]).tolist():
-            letters = self._letters_of(words[k] + self.mark)
-            proposals[k] = self._merged(letters) if len(letters) < 64 else self._merged_long(letters)
-        return proposals
+        failed = np.unique(owner[inside[bad[where]]])
+        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+        token = token.astype("<u4")
+        _deal(out, short, token, owner)
+        if len(failed):
+            again = short[failed]
+            token, owner = self._merged_words(flat, start[again], stop[again])
+            _deal(out, again, token.astype("<u4"), owner)
+        for w in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[w] = np.array(self._long_word("".join(map(self.letters.__getitem__, words[w]))), dtype="<u4")
+        return out
+
+    def _long_word(self, letters: str) -> list[int]:
+        """The same for one very long word: propose, test its pairs, merge with a heap if one fails."""
+        proposal = np.array(self._proposal(letters))
+        if self._conflicts(proposal[:-1], proposal[1:]).any():
+            return self._merged_long(self._letters_of(letters + self.mark))
+        return proposal.tolist()
 
     def _parts(self, piece: str) -> list[str | int]:
-        """Words in byte letters, and ids of special tokens, of a piece without white space."""
+        """Words, and ids of special tokens, of a piece without white space."""
+        low = self._lowered(piece)  # lowering can split letters into letters and marks
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,":
+            return [low[:-1], low[-1]]
         out: list[str | int] = []
         for k, raw in enumerate(self.specials.split(piece) if "<" in piece else [piece]):
             if k % 2:
                 out.append(self.special[raw])
             elif raw:
-                if raw.isascii():
-                    out += [w.translate(self.to_letters) for w in self.words.findall(raw.lower())]
-                else:  # each letter is lowered by itself, a final sigma too
-                    low = unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
-                    out += [w.encode().decode("latin-1").translate(self.to_letters) for w in self.words.findall(low)]
+                out += self.words.findall(self._lowered(raw))
         return out
 
+    @staticmethod
+    def _lowered(raw: str) -> str:
+        if raw.isascii():
+            return raw.lower()
+        # each letter is lowered by itself, a final sigma too
+        return unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet, all of a batch together."""
         parts = [self._parts(p) for p in pieces]
-        words = list({w for ps in parts for w in ps if isinstance(w, str)})
-        tokens = dict(zip(words, self.encode_words(words))) if words else {}
+        new = {w for ps in parts for w in ps if isinstance(w, str)}.difference(self.word)
+        if len(self.word) + len(new) > CACHE_WORDS:
+            self.word = {}
+            new = {w for ps in parts for w in ps if isinstance(w, str)}
+        if new:
+            words = list(new)
+            for w, ids in zip(words, self.encode_words([x.encode() for x in words])):
+                self.word[w] = (ids.tobytes(), self.decode(ids.tolist()))
         for piece, ps in zip(pieces, parts):
-            ids = [i for p in ps for i in ([p] if isinstance(p, int) else tokens[p])]
-            self.ids_of[piece] = np.array(ids, dtype="<u4").tobytes()
-            self.text_of[piece] = self.decode(ids)
+            made = [self.word[p] if isinstance(p, str) else (p.to_bytes(4, "little"), self.names[p]) for p in ps]
+            if len(made) == 1:
+                self.ids_of[piece], self.text_of[piece] = made[0]
+            else:
+                self.ids_of[piece] = b"".join([m[0] for m in made])
+                self.text_of[piece] = " ".join([m[1] for m in made])
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: such a file names no decoder."""
@@ -247,6 +367,13 @@ class WordBpe:
         return self.encode(texts)
 
 
+def _deal(out: list, words: np.ndarray, token: np.ndarray, owner: np.ndarray) -> None:
+    """Give each word its run of tokens; `owner` counts the words from 0 in order."""
+    cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+    for k, w in enumerate(words.tolist()):
+        out[w] = token[cuts[k] : cuts[k + 1]]
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -282,6 +409,7 @@ def bpe(
     kinds = "string, decoded_sha256 string" if digests_only else "array<int>, decoded string"
 
     def work(batch):
+        gc.disable()  # the caches hold no cycles; scanning them again and again is most of the time
         made = _loaded(spec).encode_batch(batch.column("_bpe_text").to_pylist())
         n = [len(ids) // 4 for ids, _ in made]
         if digests_only:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom.llm.bpe import bpe
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.topk import top_k
+from pairloom.llm.vectors import near_duplicate_vectors
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +67,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query("op2_top_k", OP2_SQL)
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_vectors")
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
