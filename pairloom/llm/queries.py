@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
+from pairloom.llm.langid import identify
+from pairloom.llm.rows import crc_of
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.topk import top_k
 from pairloom.llm.vectors import near_duplicate_vectors
@@ -72,3 +74,9 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_vectors")
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)))
+    return identify(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
