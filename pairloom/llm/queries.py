@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
+from pairloom.llm.quality import score_quality
 from pairloom.llm.rows import crc_of
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.topk import top_k
@@ -80,3 +81,11 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_of("doc_id") % 4 == 2, F.lit(False)))
     return identify(docs, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
