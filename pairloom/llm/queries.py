@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
+from pairloom.llm.mixing import mix
 from pairloom.llm.quality import score_quality
 from pairloom.llm.rows import crc_of
 from pairloom.llm.simhash import near_duplicates
@@ -89,3 +90,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     scored = score_quality(docs, table(spark, sf_dir, "labels"), ~F.col("held_out"), keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+#: shares of tokens that the mix aims at
+MIX = {"clean": 0.93, "junk": 0.05, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """Domain of each labelled document: toxic before junk (quality 0) before clean."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", kind.alias("domain"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIX, keep=["doc_id", "source"])
