@@ -7,8 +7,8 @@ at once with array operations over the left and right edges of the tokens' merge
 words in which a pair fails are merged one step at a time.
 
 Texts are cut at white space first. A piece between spaces always gives the same tokens, so a
-worker keeps the pieces and words it has seen (at most `CACHE_PIECES` and `CACHE_WORDS`, then it
-starts anew; this bounds memory and changes no result). The job is one map over the rows: no shuffle, one batch in memory.
+worker keeps the pieces and words it has seen lately (about `CACHE_PIECES` and `CACHE_WORDS`; this
+bounds memory and changes no result). The job is one map over the rows: no shuffle, one batch in memory.
 
 The tokenizer file is JSON of the kind: NFC and lower case, white space dropped, word pattern,
 byte letters, end-of-word mark, special tokens found in the raw text. Letters that Unicode gained
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.rows import map_batches, whole_text
 
 CACHE_PIECES = 400_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
+GROUP_CHARS = 4 << 20
 LONG_WORD = 256
 NEVER = 1 << 30
 
@@ -43,6 +44,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Recent:
+    """Entries (ids, text) in two generations; the older one goes when the younger is full.
+
+    What a group asks for is moved to the younger generation, so frequent entries stay.
+    """
+
+    def __init__(self, most: int):
+        self.most = most // 2
+        self.young: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, str]] = ({}, {})
+
+    def missing(self, need: set[str]) -> set[str]:
+        lack = need.difference(self.young[0])
+        back = lack.intersection(self.old[0])
+        for now, before in zip(self.young, self.old):
+            now.update(zip(back, map(before.__getitem__, back)))
+        return lack - back
+
+    def add(self, key: str, ids: bytes, text: str) -> None:
+        self.young[0][key], self.young[1][key] = ids, text
+
+    def age(self) -> None:
+        if len(self.young[0]) > self.most:
+            self.old, self.young = self.young, ({}, {})
+
+
 class WordBpe:
     """Tables of one tokenizer and the pieces encoded so far."""
 
@@ -58,9 +85,7 @@ class WordBpe:
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.letters = _byte_letters()
         self._merge_tables([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.ids_of: dict[str, bytes] = {}
-        self.text_of: dict[str, str] = {}
-        self.word: dict[str, tuple[bytes, str]] = {}
+        self.seen, self.seen_words = Recent(CACHE_PIECES), Recent(CACHE_WORDS)
 
     def _merge_tables(self, merges: list[tuple[str, str]]) -> None:
         size = max(self.names) + 1
@@ -319,21 +344,18 @@ class WordBpe:
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet, all of a batch together."""
         parts = [self._parts(p) for p in pieces]
-        new = {w for ps in parts for w in ps if isinstance(w, str)}.difference(self.word)
-        if len(self.word) + len(new) > CACHE_WORDS:
-            self.word = {}
-            new = {w for ps in parts for w in ps if isinstance(w, str)}
-        if new:
-            words = list(new)
+        words = list(self.seen_words.missing({w for ps in parts for w in ps if isinstance(w, str)}))
+        if words:
             for w, ids in zip(words, self.encode_words([x.encode() for x in words])):
-                self.word[w] = (ids.tobytes(), self.decode(ids.tolist()))
+                self.seen_words.add(w, ids.tobytes(), self.decode(ids.tolist()))
+        ids_of, text_of = self.seen_words.young
         for piece, ps in zip(pieces, parts):
-            made = [self.word[p] if isinstance(p, str) else (p.to_bytes(4, "little"), self.names[p]) for p in ps]
-            if len(made) == 1:
-                self.ids_of[piece], self.text_of[piece] = made[0]
+            if len(ps) == 1 and isinstance(ps[0], str):
+                self.seen.add(piece, ids_of[ps[0]], text_of[ps[0]])
             else:
-                self.ids_of[piece] = b"".join([m[0] for m in made])
-                self.text_of[piece] = " ".join([m[1] for m in made])
+                made = [(ids_of[p], text_of[p]) if isinstance(p, str) else (p.to_bytes(4, "little"), self.names[p]) for p in ps]
+                self.seen.add(piece, b"".join([m[0] for m in made]), " ".join([m[1] for m in made]))
+        self.seen_words.age()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: such a file names no decoder."""
@@ -345,26 +367,26 @@ class WordBpe:
             return [p for p in regex.split(r"\s+", text) if p]
         return text.split()
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
+    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids as little-endian 32-bit integers and the decoded text, per text."""
-        out = []
-        for text in texts:
-            cut = self.pieces(text)
-            new = set(cut).difference(self.ids_of)
-            if new:
-                if len(self.ids_of) + len(new) > CACHE_PIECES:
-                    self.ids_of, self.text_of = {}, {}
-                    new = set(cut)
-                self.learn(list(new))
-            out.append((b"".join(map(self.ids_of.__getitem__, cut)), " ".join(map(self.text_of.__getitem__, cut))))
+        out, start, size = [], 0, 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= GROUP_CHARS or k == len(texts) - 1:
+                out += self._encode_group([self.pieces(x) for x in texts[start : k + 1]])
+                start, size = k + 1, 0
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """As `encode`; the pieces that several texts lack are learned together first."""
-        new = set().union(*map(self.pieces, texts)).difference(self.ids_of) if texts else set()
-        if new and len(self.ids_of) + len(new) <= CACHE_PIECES:
-            self.learn(list(new))
-        return self.encode(texts)
+    def _encode_group(self, cut: list[list[str]]) -> list[tuple[bytes, str]]:
+        """Learn what the texts of a group need in one go, then join the parts of each text."""
+        need = set().union(*cut)
+        missing = self.seen.missing(need)
+        if missing:
+            self.learn(list(missing))
+        ids, names = self.seen.young[0].__getitem__, self.seen.young[1].__getitem__
+        made = [(b"".join(map(ids, c)), " ".join(map(names, c))) for c in cut]
+        self.seen.age()
+        return made
 
 
 def _deal(out: list, words: np.ndarray, token: np.ndarray, owner: np.ndarray) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
 from pairloom.llm.mixing import mix
+from pairloom.llm.pii import KINDS, find_private
 from pairloom.llm.quality import score_quality
 from pairloom.llm.rows import crc_of
 from pairloom.llm.simhash import near_duplicates
@@ -105,3 +106,18 @@ def domains(labels: DataFrame) -> DataFrame:
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), MIX, keep=["doc_id", "source"])
+
+
+@query("op4_private")
+def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    listed = lambda kind, spans: F.transform(
+        spans, lambda s: F.concat_ws(":", F.lit(kind) if isinstance(kind, str) else s["kind"], s["start"], s["end"])
+    )
+    base = F.concat(*[listed(k, F.col(f"_base_{k}")) for k in KINDS])
+    return found.select(
+        "doc_id",
+        *[F.size(f"_base_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.concat(base, listed(None, F.col("_added"))), ",").alias("spans"),
+    )
