@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
+from pairloom.llm.lines import dedup_lines
 from pairloom.llm.mixing import mix
 from pairloom.llm.pii import KINDS, find_private
 from pairloom.llm.quality import score_quality
@@ -121,3 +122,10 @@ def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, listed(None, F.col("_added"))), ",").alias("spans"),
     )
+
+
+@query("op9_lines")
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return cleaned.select("doc_id", n_lines.alias("lines_left"), "lines_dropped", F.sha2("text", 256).alias("text_sha256"), "text")

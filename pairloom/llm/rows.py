@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.session import cut_lineage as hold
+from pairloom.session import cut_lineage as hold, ensure_checkpoint_dir
 
-__all__ = ["hold", "map_batches", "crc_of", "whole_text"]
+__all__ = ["hold", "stored", "map_batches", "crc_of", "whole_text"]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As `hold`, but as a Parquet table in the checkpoint folder: smaller, and columns can be pruned."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(
