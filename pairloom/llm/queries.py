@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
+from pairloom.llm.licenses import page_lines, page_path, scan_licences
 from pairloom.llm.lines import dedup_lines
 from pairloom.llm.mixing import mix
 from pairloom.llm.pii import KINDS, find_private
@@ -129,3 +130,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
     return cleaned.select("doc_id", n_lines.alias("lines_left"), "lines_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
+@query("op3_licences")
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files below their host; a page that is headed by a notice covers its directory."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", page_path(F.col("url")).alias("path"), page_lines(F.col("html")).alias("text")
+    )
+    return scan_licences(pages, file_id="page_id", licence_file=F.lit(True), header_line=0)
