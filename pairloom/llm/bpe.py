@@ -28,7 +28,7 @@ import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm.rows import map_batches, whole_text
+from pairloom.llm.rows import map_batches, texts_of
 
 CACHE_PIECES = 400_000
 CACHE_WORDS = 600_000
@@ -427,12 +427,12 @@ def bpe(
     spec = read_spec(df.sparkSession, tokenizer)
     added = ["ids_sha256", "decoded_sha256"] if digests_only else ["token_ids", "decoded"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("n_tokens", *added)]
-    source = df.withColumn("_bpe_text", whole_text(text)).select(*keep, "_bpe_text")
+    source = df.select(*dict.fromkeys([*keep, text]))
     kinds = "string, decoded_sha256 string" if digests_only else "array<int>, decoded string"
 
     def work(batch):
         gc.disable()  # the caches hold no cycles; scanning them again and again is most of the time
-        made = _loaded(spec).encode_batch(batch.column("_bpe_text").to_pylist())
+        made = _loaded(spec).encode_batch(texts_of(batch, text))
         n = [len(ids) // 4 for ids, _ in made]
         if digests_only:
             values = [

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.rows import map_batches, whole_text
+from pairloom.llm.rows import map_batches, texts_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -180,11 +180,11 @@ def identify(
     """
     net = learn_languages(df, learn_from, text, lang, doc_id, sample_rows)
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    source = df.withColumn("_text", whole_text(text)).select(*kept, "_text")
+    source = df.select(*dict.fromkeys([*kept, text]))
     pairs_at: list = []
 
     def work(batch: pa.RecordBatch) -> dict:
-        texts = batch.column("_text").to_pylist()
+        texts = texts_of(batch, text)
         letters = [any(map(str.isalpha, t[:64])) or any(map(str.isalpha, t)) for t in texts]
         names, scores = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
         use = np.flatnonzero(letters)

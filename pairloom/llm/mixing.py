@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm import style
-from pairloom.llm.rows import hold, map_batches, whole_text
+from pairloom.llm.rows import hold, map_batches, stored, texts_of, whole_text
 
 
 @dataclass
@@ -126,10 +126,10 @@ def learn_domains(
 
 def add_posteriors(df: DataFrame, model: DomainModel, text: str, keep: list[str]) -> DataFrame:
     """`keep`, `tokens` and `posteriors` (in the order of `model.domains`)."""
-    source = df.withColumn("_text", whole_text(text)).select(*keep, "_text")
+    source = df.select(*dict.fromkeys([*keep, text]))
 
     def work(batch: pa.RecordBatch) -> dict:
-        x, tokens = describe(batch.column("_text").to_pylist(), model.words)
+        x, tokens = describe(texts_of(batch, text), model.words)
         z = np.clip((x - model.mean) / model.deviation, -8, 8)
         same = DomainModel(model.domains, model.words, np.zeros(x.shape[1]), np.ones(x.shape[1]), model.weights)
         return {"tokens": tokens, "posteriors": pa.array(same.posteriors(z).tolist(), pa.list_(pa.float64()))}
@@ -212,9 +212,9 @@ def mix(
     """
     kept = [doc_id] if keep is None else keep
     model = learn_domains(df, labelled, text, doc_id, domain, sample_rows)
-    source = df.withColumn("_text", whole_text(text)).withColumn("_draw", F.xxhash64(F.lit(29), F.col(doc_id), F.col("_text")))
+    source = df.withColumn("_draw", F.xxhash64(F.lit(29), F.col(doc_id), F.col(text)))
     model = model or DomainModel(["all"], [], *_nothing())
-    rows = hold(add_posteriors(source, model, "_text", [*kept, "_draw"]))
+    rows = stored(add_posteriors(source, model, text, [*kept, "_draw"]))
     now = np.array([float(v or 0) for v in rows.agg(*[F.sum(F.col("tokens") * F.col("posteriors")[k]).alias(f"s{k}") for k in range(len(model.domains))]).first()])
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
     steps: list[np.ndarray] = []

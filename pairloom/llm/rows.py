@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.session import cut_lineage as hold, ensure_checkpoint_dir
 
-__all__ = ["hold", "stored", "map_batches", "crc_of", "whole_text"]
+__all__ = ["hold", "stored", "map_batches", "texts_of", "crc_of", "whole_text"]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -44,6 +44,11 @@ def map_batches(
     return df.mapInArrow(run, out_schema)
 
 
+def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+    """The whole texts of a batch, null as the empty text."""
+    return [t or "" for t in batch.column(column).to_pylist()]
+
+
 def crc_of(column: str) -> Column:
     """crc32 of the value written as text; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
