@@ -23,6 +23,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOWS_AT_ONCE = 2048
+BATCH, LEAST_STEPS = 64, 900
 UNKNOWN = "und"
 
 
@@ -83,8 +84,12 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs: int = 6, seed: int = 3) -> ByteNet:
-    """Adam on the cross entropy; the gradient of a maximum goes to the bytes it came from."""
+    """Adam on the cross entropy; the gradient of a maximum goes to the bytes it came from.
+
+    A small sample is passed over more often, so that the number of steps is at least `LEAST_STEPS`.
+    """
     rng = np.random.default_rng(seed)
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(windows)))
     tables = [rng.normal(0, 0.3, (w, 256, FILTERS)) for w in WIDTHS]
     n_pooled = FILTERS * len(WIDTHS)
     params = [*tables, np.zeros(n_pooled), rng.normal(0, 0.1, (n_pooled, len(languages))), np.zeros(len(languages))]
@@ -92,8 +97,8 @@ def train(windows: np.ndarray, target: np.ndarray, languages: list[str], epochs:
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(windows))
-        for at in range(0, len(order), 64):
-            pick = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
             x, y = windows[pick].astype(np.int64), target[pick]
             length = rng.integers(24, WINDOW + 1) if rng.random() < 0.4 else WINDOW  # short texts occur too
             x = np.where(np.arange(WINDOW) < length, x, 0)

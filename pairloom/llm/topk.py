@@ -98,8 +98,9 @@ def _huge(queries: tuple, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[
     out, whole = [], [[int(v) for v in row] for row in x]
     for qid, q in zip(queries[0].tolist(), queries[1]):
         own = [int(v) for v in q]
-        scored = [(-sum(a * b for a, b in zip(own, row)), i) for row, i in zip(whole, ids.tolist()) if i != qid]
-        out += [(qid, i, max(min(-s, 2**63 - 1), -(2**63))) for s, i in sorted(scored)[:k]]
+        sums = [(sum(a * b for a, b in zip(own, row)), i) for row, i in zip(whole, ids.tolist()) if i != qid]
+        scored = [(-max(min(s, 2**63 - 1), -(2**63)), i) for s, i in sums]
+        out += [(qid, i, -s) for s, i in sorted(scored)[:k]]
     return out
 
 
@@ -119,7 +120,7 @@ def top_k(
     smaller id, a row is no candidate of its own. Vectors that are null, empty or hold a null or
     non-finite component take no part, nor do rows with a null id; vectors of different lengths
     are not compared; a repeated id counts once, with its smallest vector. Fewer than k
-    candidates give fewer rows, an empty table none. A score beyond 64 bits is cut to the limit.
+    candidates give fewer rows, an empty table none. A score beyond 64 bits is cut to the limit before ranking.
     Other columns are ignored, whatever their names.
     """
     flagged = df.select(
