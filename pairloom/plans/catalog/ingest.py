@@ -19,7 +19,7 @@ FILES = """SELECT conv_id, turn, conv_id + turn AS nr, conv_id || '_' || turn AS
   (['read', 'say', 'talk', 'unknown'])[(conv_id + turn) % 4 + 1] AS speech_kind FROM conversations"""
 # sentences of a file in order, `i` from 0
 SENTS = f"""SELECT f.*, standard, {words('standard')} AS ws, row_number() OVER (PARTITION BY f.conv_id, f.turn ORDER BY pos) - 1 AS i
-FROM (SELECT conv_id, turn, pos, parts[pos] AS standard FROM conv_parts WHERE regexp_matches(parts[pos], '[A-Za-z]')) s
+FROM (SELECT conv_id, turn, pos, parts[pos] AS standard FROM conv_parts WHERE parts[pos] <> '') s
 JOIN files f ON f.conv_id = s.conv_id AND f.turn = s.turn"""
 SAID = "array_to_string(list_transform(range(0, len(ws)), lambda j: CASE WHEN j % 3 = 1 THEN ws[j + 1] || 'q' ELSE ws[j + 1] END), ' ')"
 
@@ -149,7 +149,7 @@ def legacy_files(spark, sf):
     turns = V.texts(spark, sf, "conversations", "conv_id", "turn", "text").select(
         "conv_id",
         "turn",
-        F.filter(V.latin_sentences("text"), lambda s: s.rlike("[A-Za-z]")).alias("parts"),
+        F.filter(V.sentences("text"), lambda s: s != "").alias("parts"),
     )
     tail = " (aq)/(a) ((zz)) {laugh} #um &name1& (unclear) ]"
     utterances = F.transform(

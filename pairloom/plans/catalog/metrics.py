@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import metrics as M
 from pairloom.plans import views as V
 from pairloom.plans.catalog.registry import query
-from pairloom.plans.sql import LABEL_OF, bleu_ctes, bleu_of, chrf_ctes, chrf_of, with_views, words
+from pairloom.plans.sql import LABEL_OF, bleu_ctes, bleu_of, chrf_ctes, chrf_of, edit_distance, with_views, words
 
 ROW = '"do", run, id'
 BY = '"do", run'
@@ -210,7 +210,8 @@ def met12(spark, sf):
     )
 
 
-BUCKET = "CASE WHEN levenshtein(standard, dialect) <= 3 THEN 'small' WHEN levenshtein(standard, dialect) <= 8 THEN 'med' ELSE 'large' END"
+_EDITS = edit_distance("standard", "dialect")
+BUCKET = f"CASE WHEN {_EDITS} <= 3 THEN 'small' WHEN {_EDITS} <= 8 THEN 'med' ELSE 'large' END"
 GROUP = "CASE WHEN contains(lower(\"do\"), 'gangwon') THEN 'gangwon' WHEN contains(lower(\"do\"), 'gyeongsang') THEN 'gyeongsang' ELSE 'other' END"
 BUCKET_KEY = f"{GROUP} || '_' || {BUCKET}"
 

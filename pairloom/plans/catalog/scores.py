@@ -12,6 +12,7 @@ from pairloom.plans.catalog.registry import query
 from pairloom.plans.sql import (
     LABEL_OF,
     SUPPORTED,
+    bare_word,
     bleu_ctes,
     bleu_of,
     chrf_ctes,
@@ -80,7 +81,7 @@ def rwd03(spark, sf):
 
 
 def map_words(side: str) -> str:
-    return f"list_filter(list_transform(word_map, lambda e: trim(e.{side}, '.,?!')), lambda w: w <> '')"
+    return f"list_filter(list_transform(word_map, lambda e: {bare_word(f'e.{side}')}), lambda w: w <> '')"
 
 
 def share(of: str) -> str:

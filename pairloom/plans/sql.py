@@ -5,22 +5,23 @@
 
 from __future__ import annotations
 
-from pairloom.constants import LABELS, MARKERS, REGIONS
-from pairloom.plans.views import ENDINGS, RUNS
+from pairloom.constants import LABELS, MARKERS, REGIONS, WORD_EDGE_PUNCTUATION
+from pairloom.plans.views import BLANK_RUN, ENDINGS, HANGUL, RUNS
 
 
 def _names(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-LATIN = r"trim(regexp_replace({x}, '[^A-Za-z.,?!]+', ' ', 'g'))"
+ONE_BLANK = "trim(regexp_replace({x}, '" + BLANK_RUN + "', ' ', 'g'))"
+HANGUL_OF = "translate({x}, '" + HANGUL[0] + "', '" + HANGUL[1] + "')"
 VARIANT = (
     r"regexp_replace(regexp_replace(replace(standard, 'th', 'd'), 'n([ .,])', 'ng\1', 'g'),"
     r" 'e([ .,])', 'ay\1', 'g')"
 )
 DIALECT = f"""CASE WHEN k % 5 = 0 THEN standard
   WHEN k % 5 = 1 THEN standard || ' ya'
-  WHEN k % 20 = 13 AND coalesce(regexp_matches(previous, '[A-Za-z]'), false) THEN previous
+  WHEN k % 20 = 13 AND coalesce(previous <> '', false) THEN previous
   ELSE {VARIANT} END"""
 REGION_LIST = f"[{_names(REGIONS)}, 'unknown']"
 MARKER_LIST = f"[{_names(MARKERS)}]"
@@ -30,8 +31,19 @@ LABEL_OF = (
 SUPPORTED = f"\"do\" IN ({_names(REGIONS)})"
 POLLUTED = f"regexp_matches(standard, '{'|'.join(ENDINGS)}')"
 SPACE_WORDS = "list_filter(string_split({x}, ' '), lambda w: w <> '')"
+# DuckDB's levenshtein counts bytes: every letter beyond ASCII is first written as an ASCII
+# character that the tables do not use, one to one, so that bytes are characters
+BEYOND_ASCII = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü" + HANGUL[1]
+SINGLE_BYTES = "".join(map(chr, [*range(1, 9), *range(14, 32)])) + "~^[]_"
+
+
+def edit_distance(a: str, b: str) -> str:
+    one = lambda x: f"translate({x}, '{BEYOND_ASCII}', '{SINGLE_BYTES}')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
 NORM_LEV = """CASE WHEN {a} = {b} THEN 0.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 1.0
-  ELSE levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"""
+  ELSE """ + edit_distance("{a}", "{b}") + """::DOUBLE / greatest(length({a}), length({b})) END"""
 HASH32 = "('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
@@ -39,10 +51,15 @@ def words(x: str) -> str:
     return SPACE_WORDS.format(x=x)
 
 
+def bare_word(x: str) -> str:
+    edges = WORD_EDGE_PUNCTUATION.replace("'", "''")
+    return f"trim({x}, '{edges}')"
+
+
 def norm_words(x: str) -> str:
-    """Distinct words without punctuation at the ends (the views hold only .,?! as such)."""
+    """Distinct words without punctuation at the ends."""
     return (
-        f"list_distinct(list_filter(list_transform({words(x)}, lambda w: trim(w, '.,?!')),"
+        f"list_distinct(list_filter(list_transform({words(x)}, lambda w: {bare_word('w')}),"
         " lambda w: w <> ''))"
     )
 
@@ -59,7 +76,7 @@ def _view(name: str, body: str, *needs: str) -> None:
 _view(
     "doc_parts",
     f"""SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS pos
-FROM (SELECT doc_id, list_transform({_SENTENCES}, lambda x: {LATIN.format(x='x')}) AS parts FROM documents)""",
+FROM (SELECT doc_id, list_transform({_SENTENCES}, lambda x: {ONE_BLANK.format(x='x')}) AS parts FROM documents)""",
 )
 _view(
     "pairs",
@@ -67,9 +84,10 @@ _view(
   ({REGION_LIST})[doc_id % 6 + 1] AS "do",
   CASE WHEN doc_id % 10 IN (0, 7) THEN 'valid' ELSE 'train' END AS split
 FROM (SELECT id, doc_id, k, standard, {DIALECT} AS dialect
-  FROM (SELECT doc_id * 1000000 + pos AS id, doc_id, doc_id + pos AS k, parts[pos] AS standard,
+  FROM (SELECT doc_id * 1000000 + pos AS id, doc_id, doc_id + pos AS k,
+          CASE WHEN (doc_id + pos) % 4 = 3 THEN {HANGUL_OF.format(x='parts[pos]')} ELSE parts[pos] END AS standard,
           CASE WHEN pos > 1 THEN parts[pos - 1] END AS previous FROM doc_parts)
-  WHERE regexp_matches(standard, '[A-Za-z]'))""",
+  WHERE standard <> '')""",
     "doc_parts",
 )
 _view(
@@ -112,7 +130,7 @@ MARKER_V1 = """CASE WHEN f0_mean IS NULL THEN NULL WHEN f0_delta >= 0.15 THEN '<
 _view(
     "conv_parts",
     f"""SELECT conv_id, turn, parts, unnest(generate_series(1, len(parts))) AS pos
-FROM (SELECT conv_id, turn, list_transform({_SENTENCES}, lambda x: {LATIN.format(x='x')}) AS parts FROM conversations)""",
+FROM (SELECT conv_id, turn, list_transform({_SENTENCES}, lambda x: {ONE_BLANK.format(x='x')}) AS parts FROM conversations)""",
 )
 _view(
     "gold",
@@ -120,8 +138,8 @@ _view(
   CASE WHEN conv_id % 4 = 3 THEN 'dia2std' ELSE 'std2dia' END AS direction
 FROM (SELECT id, conv_id, k, standard, {DIALECT} AS dialect
   FROM (SELECT conv_id * 1000000 + turn * 1000 + pos AS id, conv_id, conv_id + turn + pos AS k,
-          parts[pos] AS standard, CASE WHEN pos > 1 THEN parts[pos - 1] END AS previous FROM conv_parts)
-  WHERE regexp_matches(standard, '[A-Za-z]'))""",
+          CASE WHEN (conv_id + turn + pos) % 4 = 3 THEN {HANGUL_OF.format(x='parts[pos]')} ELSE parts[pos] END AS standard, CASE WHEN pos > 1 THEN parts[pos - 1] END AS previous FROM conv_parts)
+  WHERE standard <> '')""",
     "conv_parts",
 )
 _view("runs", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', {i})" for i, r in enumerate(RUNS)) + ") AS t(run, run_no)")
