@@ -8,7 +8,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pairloom.constants import BLANKS, DIALECT_ENDINGS, WORD_EDGE_PUNCTUATION
-from pairloom.functions.distance import LONG_TEXT, long_distances
 
 # The characters of BLANKS as ranges, which keeps the patterns cheap. A single plain space is
 # left alone where it needs no change, since it is by far the most frequent match.
@@ -115,14 +114,15 @@ def completion_text(df: DataFrame, column: str) -> Column:
 def edit_distance(a: Column | str, b: Column | str, only_if: Column | None = None) -> Column:
     """Levenshtein distance; null where `only_if` is false.
 
-    The built-in costs one step per cell of the edit matrix. Pairs beyond LONG_TEXT characters
-    go to a bit-parallel helper instead, so one very long text does not hold up its task.
+    A doubling band first: the built-in is linear in the band, so close texts cost little however
+    long they are, and only texts that differ everywhere reach the whole matrix.
     """
     a, b = col(a), col(b)
-    wanted = F.lit(True) if only_if is None else only_if
-    long = wanted & (F.greatest(F.length(a), F.length(b)) > LONG_TEXT)
-    by_bits = F.pandas_udf(long_distances, "bigint")(F.when(long, a), F.when(long, b))
-    return F.when(long, by_bits).when(wanted, F.levenshtein(a, b))
+    longest = F.greatest(F.length(a), F.length(b))
+    within = lambda band: F.nullif(F.call_function("levenshtein", a, b, band), F.lit(-1))
+    near = [within(F.ceil(longest / share).cast("int")) for share in (32, 8, 2)]
+    distance = F.coalesce(*near, F.levenshtein(a, b))
+    return distance if only_if is None else F.when(only_if, distance)
 
 
 def norm_levenshtein(a: Column | str, b: Column | str, only_if: Column | None = None) -> Column:
@@ -152,10 +152,8 @@ def closer_than(
     open_case = (a != b) & (la > 0) & (lb > 0) & (F.abs(la - lb) < longest * F.lit(threshold))
     if only_if is not None:
         open_case = open_case & only_if
-    long = open_case & (longest > LONG_TEXT)
-    by_bits = F.pandas_udf(long_distances, "bigint")(F.when(long, a), F.when(long, b))
     band = F.ceil(longest * F.lit(threshold)).cast("int")
-    distance = F.when(long, by_bits).when(open_case, F.call_function("levenshtein", a, b, band))
+    distance = F.when(open_case, F.call_function("levenshtein", a, b, band))
     return (
         F.when(a == b, F.lit(0.0 < threshold))
         .when((la == 0) | (lb == 0), F.lit(1.0 < threshold))
@@ -169,12 +167,12 @@ def carries_marker(text: Column | str, endings: Sequence[str] = DIALECT_ENDINGS)
 
 
 def edit_bucket(standard: Column | str, dialect: Column | str, small: int = 3, med: int = 8) -> Column:
-    """small / med / large by edit distance; the band stops at `med`, so it is linear."""
+    """small / med / large by edit distance, null if a side is; the band stops at `med`, so it is linear."""
     distance = F.levenshtein(col(standard), col(dialect), med)
     return (
         F.when(distance < 0, F.lit("large"))
         .when(distance <= small, F.lit("small"))
-        .otherwise(F.lit("med"))
+        .when(distance <= med, F.lit("med"))
     )
 
 

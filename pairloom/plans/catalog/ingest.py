@@ -1,16 +1,20 @@
-"""ING-02..18 over transcript documents made of every conversation turn."""
+"""ING-01..18 over transcript documents made of every conversation turn."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from pairloom import schemas
 from pairloom.plans import views as V
 from pairloom.plans.catalog.registry import query
 from pairloom.plans.catalog.text import BLANK_CLASS
 from pairloom.plans.sql import MARKER_V2, with_views, words
-from pairloom.sources import transcripts as T
+from pairloom.session import ensure_checkpoint_dir
+from pairloom.sources import tables, transcripts as T
 
-BAD = "(nr % 7 <> 3 AND nr % 11 = 5)"
+BAD = "(nr % 7 <> 3 AND (nr % 11 = 5 OR nr % 13 IN (6, 9)))"
 FILES = """SELECT conv_id, turn, conv_id + turn AS nr, conv_id || '_' || turn AS name,
   '/corpus/TL_01._' || (['강원도', '경상도', '전라도', '제주도', '충청도', '평안도'])[conv_id % 6 + 1] || '_01/' ||
   (['Training', 'Validation', 'Other'])[conv_id % 3 + 1] || '/' || (['st_', 'say_', 'talk_', 'x_'])[(conv_id + turn) % 4 + 1] || conv_id || '_' || turn || '.json' AS path,
@@ -32,6 +36,76 @@ def parsed(spark, sf):
     return T.parse(V.transcripts(spark, sf))
 
 
+def fresh_folder(spark):
+    """A new folder below the checkpoint folder, which all executors share."""
+    return f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def written(spark, sf, splits=tables.MERGED_SPLITS):
+    """Sentence rows of the asked splits, from the table that the sink writes."""
+    path = fresh_folder(spark)
+    tables.write_parsed(parsed(spark, sf), path)
+    return tables.load_sentences(spark, path, splits)
+
+
+@query("ing01_scan", f"WITH files AS ({FILES}) SELECT name, 1::BIGINT AS documents FROM files")
+def ing01(spark, sf):
+    path = fresh_folder(spark)
+    name = F.regexp_extract("path", r"([0-9]+_[0-9]+)\.json$", 1)
+    V.transcripts(spark, sf).select(name.alias("name"), F.col("content").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    files = T.scan(spark, path, "*.txt")
+    whole = F.col("content").startswith("{")
+    return files.groupBy(F.regexp_extract("path", "name=([0-9_]+)/", 1).alias("name")).agg(F.sum(whole.cast("bigint")).alias("documents"))
+
+
+@query(
+    "ing03_strict_decode",
+    f"WITH files AS ({FILES}) SELECT path, nr % 7 <> 3 AND nr % 11 <> 5 AND nr % 13 NOT IN (6, 9) AS strict FROM files",
+)
+def ing03(spark, sf):
+    return V.transcripts(spark, sf).select("path", T.decode_strict(F.col("content"), schemas.TRANSCRIPT).isNotNull().alias("strict"))
+
+
+@query(
+    "ing04_repaired",
+    f"WITH files AS ({FILES}) SELECT path, name AS file_name FROM files WHERE nr % 7 = 3",
+)
+def ing04(spark, sf):
+    strict = T.decode_strict(F.col("content"), schemas.TRANSCRIPT)
+    repaired = T.decode_json("content", schemas.TRANSCRIPT)
+    rows = V.transcripts(spark, sf).filter(strict.isNull()).select("path", repaired["fileName"].alias("file_name"))
+    return rows.filter(F.col("file_name").isNotNull())
+
+
+@query(
+    "ing09_segment_starts",
+    sql(
+        f"""SELECT path, coalesce(n, 0) + CASE WHEN nr % 17 = 8 THEN 2 ELSE 0 END AS segments, CASE WHEN nr % 17 = 8 THEN 1 ELSE 0 END AS without_start,
+  round(coalesce(total, 0) + CASE WHEN nr % 17 = 8 THEN 90 * 3600 - 1 ELSE 0 END, 6)::DOUBLE AS total_start
+FROM files JOIN (SELECT conv_id, turn, sum(len(ws))::BIGINT AS n,
+  sum(list_sum(list_transform(range(0, len(ws)), lambda j: i * 2 + (j % 180) / 100.0::DOUBLE))) AS total FROM sents GROUP BY ALL)
+USING (conv_id, turn) WHERE NOT {BAD}"""
+    ),
+)
+def ing09(spark, sf):
+    files = T.decode_transcripts(V.transcripts(spark, sf)).filter(F.col("error").isNull())
+    starts = F.transform("segments", lambda g: g["at"])
+    return files.select(
+        "path",
+        F.size("segments").cast("bigint").alias("segments"),
+        F.size(F.filter(starts, lambda s: s == -1)).alias("without_start"),
+        F.aggregate(starts, F.lit(0.0), lambda total, s: total + s).alias("total_start"),
+    )
+
+
+@query(
+    "ing13_annotations",
+    sql(f"SELECT name || '_' || (i + 1) AS id, CASE WHEN (i + 1) % 2 = 1 THEN 't' || ((i + 1) % 5) END AS intent, NULL::VARCHAR AS emotion FROM sents WHERE NOT {BAD}"),
+)
+def ing13(spark, sf):
+    return parsed(spark, sf).filter(F.col("error").isNull()).select("id", "intent", "emotion")
+
+
 @query(
     "ing02_sample_files",
     f"WITH files AS ({FILES}) SELECT path FROM files ORDER BY md5('42:' || path), path LIMIT 50",
@@ -42,8 +116,10 @@ def ing02(spark, sf):
 
 @query(
     "ing05_dead_letters",
-    f"""WITH files AS ({FILES}) SELECT path AS file, 'empty or invalid' AS error FROM files WHERE {BAD}
-OR (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conversations WHERE regexp_matches(text, '[A-Za-z]'))""",
+    sql(
+        f"""SELECT path AS file, 'empty or invalid' AS error FROM files WHERE {BAD}
+OR (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM conv_parts WHERE parts[pos] <> '')"""
+    ),
 )
 def ing05(spark, sf):
     return T.dead_letters(parsed(spark, sf))
@@ -208,9 +284,9 @@ def ing15_dead(spark, sf):
 
 @query("ing16_split_counts", sql(f'SELECT split, "do", count(*) AS n FROM sents WHERE NOT {BAD} AND split <> \'unknown\' GROUP BY ALL'))
 def ing16(spark, sf):
-    return T.sentences(parsed(spark, sf)).groupBy("split", "do").agg(F.count(F.lit(1)).alias("n"))
+    return written(spark, sf).groupBy("split", "do").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ing18_load_valid", sql(f"SELECT name || '_' || (i + 1) AS id, standard FROM sents WHERE NOT {BAD} AND split = 'valid'"))
 def ing18(spark, sf):
-    return T.sentences(parsed(spark, sf)).filter(F.col("split") == "valid").select("id", "standard")
+    return written(spark, sf, ("valid",)).select("id", "standard")

@@ -323,6 +323,17 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
+    # outside every sentence: an end time nobody reads, and a segment without a start
+    outside = F.array(
+        *[
+            F.struct(
+                F.lit(start).cast("string").alias("startTime"), F.lit("1:2").alias("endTime"),
+                F.lit("zz").alias("dialect"), F.lit(None).cast("string").alias("standard"),
+            )
+            for start in ("90:00:00.00", None)
+        ]
+    )
+    segments = F.when(number % 17 == 8, F.concat(segments, outside)).otherwise(segments)
     intents = F.transform(
         F.filter(F.sequence(F.lit(1), F.greatest(F.size("parts"), F.lit(1))), lambda i: i % 2 == 1),
         lambda i: F.struct(i.cast("string").alias("sentenceId"), F.concat(F.lit("t"), (i % 5).cast("string")).alias("tagType")),
@@ -338,6 +349,8 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = (
         F.when(number % 7 == 3, F.concat(F.substring("doc", F.lit(1), F.length("doc") - 1), F.lit(", }")))
         .when(number % 11 == 5, F.substring("doc", F.lit(1), F.length("doc") - 2))
+        .when(number % 13 == 6, F.concat("doc", F.lit('{"x": 1}')))
+        .when(number % 13 == 9, F.concat("doc", F.lit(" and so on }")))
         .otherwise(F.col("doc"))
     )
     korean = F.array(*[F.lit(n) for n in ("강원도", "경상도", "전라도", "제주도", "충청도", "평안도")])

@@ -19,7 +19,7 @@ SENTENCES = (
     f"prosody_marker string, dialect_eojeol_prosody {MARKED_WORDS}, intent string, emotion string"
 )
 
-# One transcript file. `_bad` receives the raw text when the decoder gives up.
+# One transcript file.
 TRANSCRIPT = (
     "fileName string, "
     "transcription struct<"
@@ -28,12 +28,11 @@ TRANSCRIPT = (
     "segments:array<struct<startTime:string,endTime:string,dialect:string,standard:string,"
     "pronunciation:string>>>, "
     "annotation struct<intents:array<struct<sentenceId:string,tagType:string>>,"
-    "emotions:array<struct<sentenceId:string,tagType:string>>>, "
-    "_bad string"
+    "emotions:array<struct<sentenceId:string,tagType:string>>>"
 )
 LEGACY_TRANSCRIPT = (
     "utterance array<struct<id:string,standard_form:string,dialect_form:string,"
-    "eojeolList:array<struct<id:string,eojeol:string,standard:string>>>>, _bad string"
+    "eojeolList:array<struct<id:string,eojeol:string,standard:string>>>>"
 )
 TRAINER_STATE = (
     "global_step bigint, log_history array<struct<step:bigint,grad_norm:double,"

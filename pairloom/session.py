@@ -60,7 +60,7 @@ def join_bounded(
     ordinary shuffle join.
     """
     kept = small if stored else cut_lineage(small)
-    if kept.limit(max_rows + 1).count() <= max_rows:
+    if kept.count() <= max_rows:  # a partial count per task; a limit would send rows to one task
         kept = F.broadcast(kept)
     return big.join(kept, on, how)
 

@@ -87,18 +87,24 @@ def repair_json(text: Column | str) -> Column:
     return F.regexp_replace(out, r'(?U)([}\]])\s*,\s*,\s*(?="[^"]+"\s*:)', "$1,")
 
 
-def _decode(text: Column, schema: str) -> Column:
-    options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
+def decode_strict(text: Column, schema: str) -> Column:
+    """The one object that the text consists of, null for anything else.
+
+    The decoder stops at the end of the first value, so the text is read as the only element of
+    an array: whatever follows the object breaks the array or makes it longer.
+    """
     blank = strip(text)
     is_object = blank.startswith("{") & blank.endswith("}")
-    parsed = bind(F.from_json(text, schema, options), lambda d: F.when(d["_bad"].isNull(), d))
-    return F.when(is_object, parsed)
+    only = F.from_json(
+        F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>", {"allowSingleQuotes": "false"}
+    )
+    return F.when(is_object, bind(only, lambda found: F.when(F.size(found) == 1, F.get(found, 0))))
 
 
 def decode_json(text: Column | str, schema: str) -> Column:
     """Strict decoding first, the repaired text only if that fails; null if both do."""
     t = F.ltrim(col(text), F.lit("\ufeff"))
-    return F.coalesce(_decode(t, schema), _decode(repair_json(t), schema))
+    return F.coalesce(decode_strict(t, schema), decode_strict(repair_json(t), schema))
 
 
 def seconds(timecode: Column | str) -> Column:
@@ -276,7 +282,11 @@ def tag_of(items: Column, sentence_id: Column) -> Column:
 
 def segments_between(segments: Column, start: Column, end: Column) -> Column:
     """Segments whose start lies in [start, end + 0.01]."""
-    return F.filter(segments, lambda g: (g["at"] >= start) & (g["at"] <= end + 0.01))
+    return F.filter(segments, lambda g: _starts_within(g, start, end))
+
+
+def _starts_within(segment: Column, start: Column, end: Column) -> Column:
+    return (segment["at"] >= start) & (segment["at"] <= end + 0.01)
 
 
 def decoded(files: DataFrame, document: Column) -> DataFrame:
@@ -340,7 +350,12 @@ def decode_transcripts(files: DataFrame) -> DataFrame:
     bad_sentence = F.exists(
         "sentences", lambda s: s["start_s"].isNull() | s["end_s"].isNull() | s["number"].isNull()
     )
-    bad_segment = F.exists("segments", lambda g: g["at"].isNull() | (g["has_end"] & g["end_s"].isNull()))
+    # an end time is only read for a spoken segment with a start inside some sentence
+    bad_ends = F.filter(
+        "segments", lambda g: g["has_start"] & g["has_end"] & g["end_s"].isNull() & ~_blank(g["dialect"])
+    )
+    read = lambda g: F.exists("sentences", lambda s: _starts_within(g, s["start_s"], s["end_s"]))
+    bad_segment = F.exists("segments", lambda g: g["at"].isNull()) | F.exists(bad_ends, read)
     error = (
         F.when(F.coalesce(F.size("sentences"), F.lit(0)) <= 0, F.lit(EMPTY))
         .when(bad_sentence, F.lit("sentence without valid time or number"))
