@@ -242,10 +242,14 @@ def marker(p_value: Column, delta: Column) -> Column:
 
 
 def significance_block(
-    scores: DataFrame, baseline: str, n_boot: int = 1000, seed: int = 1234
+    scores: DataFrame, baseline: str, n_boot: int = 1000, seed: int = 1234, exact: bool = False
 ) -> DataFrame:
-    """Every run against the baseline per region and pooled (OVERALL), with its marker."""
+    """Every run against the baseline per region and pooled (OVERALL), with its marker.
+
+    By default with Poisson weights, whose draws are summed where the rows are; `exact` draws
+    with replacement, which joins n x B draws with the values.
+    """
     pooled = scores.withColumn("region", F.lit("OVERALL"))
     differences = paired_differences(scores.unionByName(pooled), baseline)
-    block = paired_bootstrap(differences, n_boot=n_boot, seed=seed)
+    block = (paired_bootstrap if exact else poisson_bootstrap)(differences, n_boot=n_boot, seed=seed)
     return block.withColumn("verdict", marker(F.col("p_value"), F.col("delta")))

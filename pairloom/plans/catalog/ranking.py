@@ -12,7 +12,7 @@ from pairloom.plans.catalog.registry import query
 from pairloom.plans.catalog.text import quoted
 from pairloom.plans.sql import bleu_ctes, bleu_of, with_views
 
-B_DRAWS = 100
+B_DRAWS = 1000  # the default of the operators
 
 
 def light(spark, sf):
@@ -307,18 +307,12 @@ def sig02(spark, sf):
 WEIGHT = "(" + " + ".join(f"(h >= {cut})::INTEGER" for cut in S.poisson_cuts()) + ")"
 
 
-@query(
-    "sig02_poisson_bootstrap",
-    with_views(
-        "scores",
-        VERDICT,
-        pooled="SELECT * FROM scores",
-        diffs=DIFFS,
-        resamples=KEYS,
-        sums=f"""SELECT region, run, b, sum({WEIGHT} * v) AS total FROM (SELECT region, run, b, v, {mix_sql("xor(w, hi)")} AS h FROM (
-SELECT region, run, b, hi, v, {word_sql("r")} AS w FROM (SELECT region, run, ('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT AS r, round(diff * 1000000)::BIGINT AS v FROM diffs), resamples)) GROUP BY region, run, b""",
-    ),
-)
+POISSON_SUMS = f"""SELECT region, run, b, sum({WEIGHT} * v) AS total FROM (SELECT region, run, b, v, {mix_sql("xor(w, hi)")} AS h FROM (
+SELECT region, run, b, hi, v, {word_sql("r")} AS w FROM (SELECT region, run, ('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT AS r, round(diff * 1000000)::BIGINT AS v FROM diffs), resamples)) GROUP BY region, run, b"""
+POISSON = {"pooled": POOLED, "diffs": DIFFS, "resamples": KEYS, "sums": POISSON_SUMS}
+
+
+@query("sig02_poisson_bootstrap", with_views("scores", VERDICT, **{**POISSON, "pooled": "SELECT * FROM scores"}))
 def sig02_poisson(spark, sf):
     differences = S.paired_differences(V.scores(spark, sf), V.BASELINE)
     return S.poisson_bootstrap(differences, n_boot=B_DRAWS).drop("n_boot")
@@ -339,7 +333,7 @@ def sig03(spark, sf):
     with_views(
         "scores",
         f"SELECT *, CASE WHEN NOT significant_05 THEN '≈' WHEN delta > 0 THEN '▲' ELSE '▼' END AS verdict FROM ({VERDICT})",
-        **BOOT,
+        **POISSON,
     ),
 )
 def sig04(spark, sf):

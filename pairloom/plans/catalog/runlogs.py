@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from pairloom.operators import runlogs as O, significance as S
 from pairloom.plans import views as V
-from pairloom.plans.catalog.ranking import AXES, B_DRAWS, BOOT, FRONTIER, VERDICT
+from pairloom.plans.catalog.ranking import AXES, B_DRAWS, FRONTIER, POISSON, VERDICT
 from pairloom.plans.catalog.registry import query
 from pairloom.plans.sql import with_views
 
@@ -187,11 +187,11 @@ def ops12(spark, sf):
 FROM light l LEFT JOIN frontier f ON f.region = l.region AND f.run = l.run LEFT JOIN verdict v ON v.region = l.region AND v.run = l.run WHERE l.run = 'arm2'""",
         axes=AXES,
         frontier=FRONTIER,
-        **{**BOOT, "pooled": "SELECT * FROM scores"},
+        **{**POISSON, "pooled": "SELECT * FROM scores"},
         verdict=VERDICT,
     ),
 )
 def ops14(spark, sf):
     differences = S.paired_differences(V.scores(spark, sf), V.BASELINE)
-    block = S.paired_bootstrap(differences, n_boot=B_DRAWS)
+    block = S.poisson_bootstrap(differences, n_boot=B_DRAWS)
     return O.run_evidence(V.light_metrics(spark, sf), block, "arm2")
