@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom.constants import LEADERBOARD_METRICS, METRIC_SPECS
-from pairloom.operators import ranking as R, significance as S
+from pairloom.operators import metrics as M, ranking as R, significance as S
 from pairloom.plans import jobs, views as V
 from pairloom.plans.catalog.metrics import BY, ROW, wide_sql
 from pairloom.plans.catalog.registry import query
 from pairloom.plans.catalog.text import quoted
-from pairloom.plans.sql import bleu_ctes, bleu_of, with_views
+from pairloom.plans.sql import VIEWS, bleu_ctes, bleu_of, with_views
 
 B_DRAWS = 1000  # the default of the operators
 
@@ -243,12 +243,19 @@ def ldb16(spark, sf):
 @query(
     "ldb17_run_comparison",
     with_views(
-        "light",
-        "SELECT region, metric, round(max(value) FILTER (run = 'base'), 6) AS base, round(max(value) FILTER (run = 'arm2'), 6) AS arm2 FROM light WHERE run IN ('base', 'arm2') GROUP BY region, metric",
+        "gens",
+        """SELECT *, round(arm2 - base, 6) AS delta FROM (SELECT region, metric, round(max(value) FILTER (run = 'base'), 6) AS base,
+  round(max(value) FILTER (run = 'arm2'), 6) AS arm2, round(max(value) FILTER (run = 'GOLD'), 6) AS "GOLD"
+FROM every WHERE run IN ('base', 'arm2', 'GOLD') GROUP BY region, metric)""",
+        with_gold="SELECT * FROM gens UNION ALL SELECT * REPLACE ('GOLD' AS run, dialect AS gen) FROM gens WHERE run = 'base'",
+        wide=VIEWS["light_wide"][1].replace("FROM gens", "FROM with_gold"),
+        every=VIEWS["light"][1].replace("light_wide", "wide"),
     ),
 )
 def ldb17(spark, sf):
-    return R.compare_runs(light(spark, sf), ["base", "arm2"])
+    rows = M.with_gold_run(V.generations(spark, sf), V.BASELINE)
+    metrics = V.light_metrics(spark, sf, rows).withColumn("value", F.round("value", 6))
+    return R.with_deltas(R.compare_runs(metrics, ["base", "arm2", "GOLD"]), "arm2", "base")
 
 
 # ---- significance ----------------------------------------------------------------------------

@@ -187,9 +187,9 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def light_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`region, run, run_order, metric, value` of cheap metrics, with a NaN and gaps."""
-    rows = generations(spark, sf_dir)
+def light_metrics(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """`region, run, run_order, metric, value` of cheap metrics of `rows` (default: generations), with a NaN and gaps."""
+    rows = generations(spark, sf_dir) if rows is None else rows
 
     def pct(test: Column) -> Column:
         return F.avg(F.when(test, 100.0).otherwise(0.0))
