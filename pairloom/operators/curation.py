@@ -232,8 +232,12 @@ def gate_report(
 
 
 def shuffled_head(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """n rows in a repeatable random order (a bounded top-n, no global sort)."""
-    return df.orderBy(hash_key(seed, key), key).limit(n)
+    """The n rows that come first in a repeatable random order, as a set.
+
+    Hash buckets that start beyond n are dropped by their offsets, so n rows never meet in one task.
+    """
+    placed = with_position(df.withColumn("_wanted", F.lit(n)), [], hash_key(seed, key), [key], limit="_wanted")
+    return placed.select(*df.columns)
 
 
 def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairloom.functions.ngrams import (
     BLEU_WIDTH,
@@ -182,12 +182,13 @@ def samples_by_bucket(runs: DataFrame, names: Sequence[str], k: int) -> DataFram
 def token_accuracy(tokens: DataFrame, keys: Sequence[str], sequence: str = "id") -> DataFrame:
     """Accuracy and mean entropy over supervised positions (label != -100).
 
-    The prediction at a position is for the next token: a self-join on position + 1, which,
-    unlike `lead`, needs no ordered window over a sequence.
+    The prediction at a position is for the next token: one shuffle by sequence, whose length the
+    model's context bounds, and the label behind each position.
     """
-    following = tokens.select(*keys, sequence, (F.col("pos") - 1).alias("pos"), F.col("label").alias("_next"))
-    joined = tokens.drop("label").join(following, [*keys, sequence, "pos"])
-    supervised = joined.filter(F.col("_next") != -100)
+    after = F.lead(F.struct("pos", "label")).over(W.partitionBy(*keys, sequence).orderBy("pos"))
+    following = tokens.select(*keys, "pos", "pred", "entropy", after.alias("_after"))
+    supervised = following.filter(F.col("_after.pos") == F.col("pos") + 1).withColumn("_next", F.col("_after.label"))
+    supervised = supervised.filter(F.col("_next") != -100)
     return supervised.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.when(F.col("pred") == F.col("_next"), 1.0).otherwise(0.0)).alias("token_accuracy"),
@@ -204,9 +205,10 @@ def group_normalized_sum(
 ) -> DataFrame:
     """Per group: z-score of every score column, then the weighted sum (`advantage`).
 
-    Group statistics come from an aggregate (partial sums first) joined back, not from a
-    window, so a group of any size is never sorted in one task.
+    The rows are shuffled by group once; the aggregate and the join read that same exchange, so
+    the scores are computed once. A group is the completions of one prompt.
     """
+    scores = scores.repartition(*group)
     std = F.stddev_samp if sample_std else F.stddev_pop
     stats = scores.groupBy(*group).agg(
         F.count(F.lit(1)).alias("group_rows"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairloom.session import join_bounded
 
 BUCKET_DIGITS = 3
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def hash_key(seed: int | str, *parts: Column | str) -> Column:
@@ -60,10 +61,14 @@ def with_position(
 def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, n: int) -> DataFrame:
     """The first n rows of every group with their `rank` (1-based).
 
-    Spark keeps only n rows per group and task before the shuffle (window group limit).
+    Spark keeps only n rows per group and task before the shuffle (window group limit); its
+    threshold on n is raised in the session if n is above it.
     """
     if n < 0:
         raise ValueError(f"n must not be negative, got {n}")
+    conf = df.sparkSession.conf
+    if n > int(conf.get(GROUP_LIMIT, "1000")):
+        conf.set(GROUP_LIMIT, str(n))
     window = W.partitionBy(*groups).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
 

@@ -196,3 +196,23 @@ def test_mark_table(spark, tmp_path):
     assert tables.read_manifest(spark, out)["marker_distribution"]["train"] == {"<UP>": 4}
     with pytest.raises(ValueError):
         B.add_marker_column(marked.drop("prosody"))
+
+
+def test_group_limit_holds_beyond_the_default_threshold(spark):
+    from pairloom.operators.ordering import first_per_group
+
+    df = spark.range(20_000).selectExpr("id", "id % 3 AS g")
+    top = first_per_group(df, ["g"], ["id"], 5_000)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+    assert top.count() == 15_000
+
+
+def test_shuffled_head_is_a_distributed_top_n(spark):
+    from pairloom.operators.curation import shuffled_head
+    from pairloom.operators.ordering import hash_key
+
+    df = spark.range(3_000)
+    want = {r.id for r in df.orderBy(hash_key(42, "id"), "id").limit(700).collect()}
+    got = shuffled_head(df, 700)
+    assert {r.id for r in got.collect()} == want and got.columns == ["id"]
+    assert shuffled_head(df, 0).count() == 0 and shuffled_head(df, 5_000).count() == 3_000
