@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from pairloom.constants import LABELS, MARKERS, REGIONS, WORD_EDGE_PUNCTUATION
-from pairloom.plans.views import BLANK_RUN, ENDINGS, HANGUL, RUNS
+from pairloom.plans.views import BLANK_RUN, ENDINGS, HANGUL, RUNS, SENTENCE
 
 
 def _names(values) -> str:
@@ -64,7 +64,7 @@ def norm_words(x: str) -> str:
     )
 
 
-_SENTENCES = r"""regexp_extract_all(text, '[^.!?\n]+[.!?]?')"""
+_SENTENCES = f"regexp_extract_all(text, '{SENTENCE}')"
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 

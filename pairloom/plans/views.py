@@ -17,7 +17,7 @@ ENDINGS = ("onon", "erst")  # marker list of the derived English-like text
 RUNS = ("base", "arm1", "arm2")
 BASELINE = "base"
 
-_SENTENCE = r"[^.!?\n]+[.!?]?"
+SENTENCE = r"[.!?]*[^.!?\n]+[.!?]*|[.!?]+"
 BLANK_RUN = r"[ \t\n\f\r]+"  # both engines read this class alike
 #: every fourth sentence has these letters written as Hangul, so that no text is Latin only
 HANGUL = ("aeiountsrl", "가에이오우은트스르을")
@@ -34,7 +34,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def sentences(text: str) -> Column:
     """All sentences of a text, every character kept, with runs of blanks as one space."""
-    found = F.regexp_extract_all(F.col(text), F.lit(_SENTENCE), F.lit(0))
+    found = F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0))
     return F.transform(found, lambda s: F.trim(F.regexp_replace(s, BLANK_RUN, " ")))
 
 

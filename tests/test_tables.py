@@ -216,3 +216,18 @@ def test_shuffled_head_is_a_distributed_top_n(spark):
     got = shuffled_head(df, 700)
     assert {r.id for r in got.collect()} == want and got.columns == ["id"]
     assert shuffled_head(df, 0).count() == 0 and shuffled_head(df, 5_000).count() == 3_000
+
+
+def test_views_keep_every_character_of_their_tables(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.plans import views as V
+
+    sf = "/root/testdata/sf0.001"
+    letters = lambda c: F.coalesce(F.sum(F.length(F.regexp_replace(c, r"[ \t\n\f\r]", ""))), F.lit(0))
+    for view, name in ((V.pairs, "documents"), (V.gold, "conversations")):
+        whole = V.table(spark, sf, name).agg(letters(F.col("text"))).first()[0]
+        kept = view(spark, sf).agg(letters(F.col("standard"))).first()[0]
+        assert kept == whole > 0
+    hangul = V.pairs(spark, sf).filter(F.col("standard").rlike("[가-힣]")).count()
+    assert hangul > 0.2 * V.pairs(spark, sf).count()
