@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.rows import hold, stored
+from pairloom.llm.rows import stored
 from pairloom.session import join_bounded
 
 # Common short notices by SPDX-like name.
@@ -138,12 +138,13 @@ def scan_licences(
         F.col(file_id).alias("_id"), F.coalesce(F.col(path), F.lit("")).alias("_path"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
         F.coalesce(is_file, F.lit(False)).alias("_file"),
     )
-    keyed = files.withColumn("_key", F.xxhash64(F.lit(41), "_path", "_text"))
+    # written once: the texts are read for the term counts and for the notices, the rest without them
+    keyed = stored(files.withColumn("_key", F.xxhash64(F.lit(41), "_path", "_text")))
     texts = keyed.filter("_text <> ''").select("_key", "_text")
     found = stored(notices(texts, threshold).distinct())
     rank = F.struct((-F.col("score")).alias("_less"), "line", "licence")
     best = found.groupBy("_key").agg(F.min(rank).alias("_own"))
-    plain = hold(keyed.drop("_text"))
+    plain = keyed.drop("_text")
     owned = stored(
         join_bounded(plain, best, ["_key"], "left").select(
             "_id", "_path", "_file", "_key", F.col("_own.licence").alias("_licence"), (-F.col("_own._less")).alias("_score")
