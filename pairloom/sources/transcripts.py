@@ -91,14 +91,18 @@ def decode_strict(text: Column, schema: str) -> Column:
     """The one object that the text consists of, null for anything else.
 
     The decoder stops at the end of the first value, so the text is read as the only element of
-    an array: whatever follows the object breaks the array or makes it longer.
+    an array in a wrapper: whatever follows the object breaks the array or makes it longer. The
+    wrapper's `_bad` is set for anything malformed.
     """
     blank = strip(text)
     is_object = blank.startswith("{") & blank.endswith("}")
-    only = F.from_json(
-        F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>", {"allowSingleQuotes": "false"}
+    wrapped = F.from_json(
+        F.concat(F.lit('{"d":['), text, F.lit("]}")),
+        f"d array<struct<{schema}>>, _bad string",
+        {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"},
     )
-    return F.when(is_object, bind(only, lambda found: F.when(F.size(found) == 1, F.get(found, 0))))
+    whole = lambda w: w["_bad"].isNull() & (F.size(w["d"]) == 1)
+    return F.when(is_object, bind(wrapped, lambda w: F.when(whole(w), F.get(w["d"], 0))))
 
 
 def decode_json(text: Column | str, schema: str) -> Column:
