@@ -285,3 +285,20 @@ def test_decoding_happens_once_per_file(spark):
     files = spark.createDataFrame([("p", GOOD)], "path string, content string")
     plan = T.parse(files).filter(F.col("error").isNull())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 2  # the strict and the repaired form, not one per field
+
+
+@pytest.mark.parametrize("after", ['{"x": 1}', " garbage }", ', {"x": 1}', "\n}", ' {"x": 1} }'])
+def test_text_behind_the_document_is_a_dead_letter(parse, after):
+    (row,) = parse(GOOD + after)
+    assert (row.error, row.standard) == (T.EMPTY, None)
+
+
+def test_an_end_time_counts_only_where_it_is_read(parse):
+    given = sentence("가", "거")
+    outside = [{"startTime": "90:00:00.000", "endTime": "1:2", "dialect": "거"}, {"startTime": None, "endTime": "1:2", "dialect": "거"}]
+    blank = [{"startTime": given["startTime"], "endTime": "1:2", "dialect": " "}]
+    for segments in (outside, blank):
+        (row,) = parse(document([given], segments))
+        assert (row.standard, row.error) == ("가", None)
+    (row,) = parse(document([given], [{"startTime": given["startTime"], "endTime": "1:2", "dialect": "거"}]))
+    assert row.error == "segment with malformed time"
