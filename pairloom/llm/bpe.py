@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.rows import map_batches, texts_of
 
-CACHE_PIECES = 400_000
-CACHE_WORDS = 600_000
-GROUP_CHARS = 4 << 20
+CACHE_PIECES = 150_000
+CACHE_WORDS = 240_000
+GROUP_CHARS = 2 << 20
 LONG_WORD = 256
 NEVER = 1 << 30
 

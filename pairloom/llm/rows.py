@@ -12,6 +12,8 @@ from pairloom.session import cut_lineage as hold, ensure_checkpoint_dir
 
 __all__ = ["hold", "stored", "map_batches", "texts_of", "crc_of", "whole_text"]
 
+BATCH_ROWS, TEXTS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
 
 def stored(df: DataFrame) -> DataFrame:
     """As `hold`, but as a Parquet table in the checkpoint folder: smaller, and columns can be pruned."""
@@ -30,6 +32,9 @@ def map_batches(
     memory at a time, and a lost task repeats from its input rows.
     """
     kept = keep or []
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_ROWS, "10000")) > TEXTS_AT_ONCE:  # rows hold whole texts: small batches
+        conf.set(BATCH_ROWS, str(TEXTS_AT_ONCE))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields) if kept else ""
     out_schema = ", ".join(x for x in (head, schema) if x)
 
