@@ -187,6 +187,33 @@ def fit_rates(
     return steps
 
 
+def fit_limits(rows: DataFrame, fixed: Column, now: np.ndarray, share: np.ndarray, whole: int) -> list[np.ndarray]:
+    """Steps for the rows that are not `fixed`, towards at most `share` of the tokens for every domain but `whole`.
+
+    The total is that of the fixed rows where a domain may shrink, so it is not overstated and the limits hold.
+    """
+    d = len(now)
+    base = [float(v or 0) for v in rows.filter(fixed).agg(*[F.sum(F.col("tokens") * F.col("posteriors")[k]).alias(f"s{k}") for k in range(d)]).first()]
+    if base[whole] <= 0:
+        return []
+    above: list[int] = []
+    while True:
+        total = sum(base[k] for k in range(d) if k not in above) / max(1e-9, 1 - sum(share[k] for k in above))
+        more = [k for k in range(d) if k != whole and k not in above and now[k] > share[k] * total]
+        if not more:
+            break
+        above.append(max(more, key=lambda k: now[k] - share[k] * total))
+    if not above:
+        return []
+    loose = rows.filter(~fixed).select("tokens", F.array(*[F.col("posteriors")[k] for k in above]).alias("posteriors"))
+    targets = np.array([max(0.0, share[k] * total - base[k]) for k in above])
+    steps = []
+    for step in fit_rates(loose, targets, 1.0):
+        steps.append(np.zeros(d))
+        steps[-1][above] = step
+    return steps
+
+
 def mix(
     df: DataFrame,
     labelled: DataFrame,
@@ -198,6 +225,7 @@ def mix(
     max_rate: float | None = None,
     sample_rows: int = 6000,
     keep: list[str] | None = None,
+    whole: str | None = None,
 ) -> DataFrame:
     """The columns `keep` (default: the id) of `df` with `tokens`, `posteriors`, `rate`, `copies`.
 
@@ -207,7 +235,9 @@ def mix(
     rate exceeds it. `rate` is how often a document should occur on average, `copies` the whole number
     of times it does: the rate rounded up or down by a hash of id and text, so the mix repeats itself.
     Posteriors are in alphabetical order of the domains. Null and empty texts have no tokens and a rate
-    like any other; repeated rows share rate and copies; without labels or weights all rates are 1; an
+    like any other. With the domain `whole` the other shares are upper limits: documents most likely of that domain keep
+    rate 1, only domains above their share shrink, `total_tokens` is not used, and without such documents all rates are 1.
+    Repeated rows share rate and copies; without labels or weights all rates are 1; an
     empty table gives an empty table; other columns are ignored, whatever their names.
     """
     kept = [doc_id] if keep is None else keep
@@ -218,14 +248,20 @@ def mix(
     now = np.array([float(v or 0) for v in rows.agg(*[F.sum(F.col("tokens") * F.col("posteriors")[k]).alias(f"s{k}") for k in range(len(model.domains))]).first()])
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in model.domains])
     steps: list[np.ndarray] = []
-    if share.sum() > 0 and now.sum() > 0:
+    fixed = F.lit(False)
+    if whole is not None:
+        if whole in model.domains and share.sum() > 0:
+            fixed = F.col("posteriors")[model.domains.index(whole)] >= F.array_max("posteriors")
+            steps = fit_limits(rows, fixed, now, share / share.sum(), model.domains.index(whole))
+    elif share.sum() > 0 and now.sum() > 0:
         share = share / share.sum()
         total = now.sum() if total_tokens is None else float(total_tokens)
         if max_rate is not None:
             total = min(total, min(max_rate * n / s for n, s in zip(now, share) if s > 0))
         steps = fit_rates(rows, total * share, max_rate)
     uniform = F.col("_draw").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return rows.withColumn("rate", _rate(steps, max_rate)).select(
+    rate = F.when(fixed, 1.0).otherwise(_rate(steps, 1.0 if whole is not None else max_rate))
+    return rows.withColumn("rate", rate).select(
         *kept, "tokens", "posteriors", "rate", F.floor(F.col("rate") + uniform).cast("int").alias("copies")
     )
 
