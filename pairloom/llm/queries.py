@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
 from pairloom.llm.langid import identify
@@ -14,6 +14,7 @@ from pairloom.llm.mixing import mix
 from pairloom.llm.pii import KINDS, find_private
 from pairloom.llm.quality import score_quality
 from pairloom.llm.rows import crc_of
+from pairloom.llm.runs import periodic_runs
 from pairloom.llm.simhash import near_duplicates
 from pairloom.llm.topk import top_k
 from pairloom.llm.vectors import near_duplicate_vectors
@@ -139,3 +140,34 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", page_path(F.col("url")).alias("path"), page_lines(F.col("html")).alias("text")
     )
     return scan_licences(pages, file_id="page_id", licence_file=F.lit(True), header_line=0)
+
+
+def looped(doc_id: str, text: str) -> Column:
+    """The text; of documents with crc32(id) % 10 = 0, words from one on repeat a period, joined by single blanks."""
+    words = F.filter(F.split(F.col(text), r"[ \t-\r]+"), lambda w: w != "")
+    n, h = F.size(words), crc_of(doc_id)
+    g = F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col(text))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", looped("doc_id", "text").alias("text"))
+    found = periodic_runs(docs, keep=["doc_id"])
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"], r["period"])))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.length")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
