@@ -13,6 +13,7 @@ from pairloom.llm.lines import dedup_lines
 from pairloom.llm.mixing import mix
 from pairloom.llm.pii import KINDS, find_private
 from pairloom.llm.quality import score_quality
+from pairloom.llm.ranked import ranked_search
 from pairloom.llm.rows import crc_of
 from pairloom.llm.runs import periodic_runs
 from pairloom.llm.simhash import near_duplicates
@@ -171,3 +172,41 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
         "n_words",
     )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS item, item_id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), sizes AS (
+  SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY row
+), total AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes
+), m AS (
+  SELECT row, doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM sizes, total
+), tf AS (
+  SELECT row, term, count(*) AS tf FROM d GROUP BY row, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs
+), s AS (
+  SELECT item, any_value(item_id) AS item_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM i JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row)
+  GROUP BY item, row
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM s JOIN m USING (row) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_ranked", OP13_SQL)
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
