@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.llm.bpe import bpe
+from pairloom.llm.chats import format_chats, read_loss, read_turns, text_part
 from pairloom.llm.langid import identify
 from pairloom.llm.licenses import page_lines, page_path, scan_licences
 from pairloom.llm.lines import dedup_lines
@@ -210,3 +211,41 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 @query("op13_ranked", OP13_SQL)
 def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 23 + length(role) END
+    + length(regexp_replace(text, '([<\[])(\\*)((/?s|/?INST|/?SYS|/?ROLE|TEXT|image|audio|document|file)[>\]])', '\1\\\2\3', 'g')) AS width
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+  (3 + sum(width))::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op11_chats", OP11_SQL)
+def op11_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads turns and loss back from the formatted text; conversation -1 holds the template's own marks."""
+    marks = spark.range(2).selectExpr("-1L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(marks)
+    chats = format_chats(turns.withColumn("parts", text_part(F.col("text"))))
+    said = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = chats.withColumn("_turns", read_turns(F.col("formatted"))).withColumn("_loss", F.array_join(read_loss(F.col("formatted"), F.col("loss")), ""))
+    return read.select(
+        "conv_id",
+        F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "attachment_tokens",
+    )
