@@ -146,14 +146,20 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def looped(doc_id: str, text: str) -> Column:
     """The text; of documents with crc32(id) % 10 = 0, words from one on repeat a period, joined by single blanks."""
-    words = F.filter(F.split(F.col(text), r"[ \t-\r]+"), lambda w: w != "")
-    n, h = F.size(words), crc_of(doc_id)
+    h = crc_of(doc_id)
     g = F.floor(h / 10)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, at(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(F.col(text))
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), 1, n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " "))
+
+    # the words are bound once: a plain column would be split again for every use
+    words = F.array(F.regexp_extract_all(F.col(text), F.lit(r"[^ \t-\r]+"), F.lit(0)))
+    return F.when(h % 10 == 0, F.transform(words, repeat)[0]).otherwise(F.col(text))
 
 
 @query("op12_runs")
