@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.session import cut_lineage as hold, ensure_checkpoint_dir
 
-__all__ = ["hold", "stored", "map_batches", "texts_of", "crc_of", "whole_text"]
+__all__ = ["Scratch", "hold", "stored", "map_batches", "texts_of", "crc_of", "whole_text"]
 
 BATCH_ROWS, TEXTS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
@@ -23,6 +23,34 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one job; leaving the block deletes those that are not kept.
+
+    A table that a lazy result still reads must be kept. After an error nothing is deleted.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame) -> DataFrame:
+        path = f"{ensure_checkpoint_dir(self.spark)}/{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return stored(df)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, error: type | None, *_: object) -> None:
+        if error is None:
+            for path in self.paths:
+                there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                there.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def map_batches(
     df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, keep: list[str] | None = None
 ) -> DataFrame:
