@@ -36,6 +36,8 @@ class Scratch:
         path = f"{ensure_checkpoint_dir(self.spark)}/{uuid.uuid4().hex}"
         self.paths.append(path)
         df.write.option("compression", "zstd").parquet(path)
+        # Spark deletes the shuffle files of earlier steps when the driver collects its garbage
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
