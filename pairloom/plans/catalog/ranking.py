@@ -262,7 +262,9 @@ def ldb17(spark, sf):
 
 POOLED = "SELECT region, run, id, score FROM scores UNION ALL SELECT 'OVERALL', run, id, score FROM scores"
 DIFFS = """SELECT a.region, a.run, a.id, a.score - b.score AS diff FROM pooled a JOIN pooled b ON b.region = a.region AND b.id = a.id AND b.run = 'base' WHERE a.run <> 'base'"""
-PLACED = """SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY md5('order:' || id), id) - 1 AS j, count(*) OVER (PARTITION BY region, run) AS n FROM {source}"""
+PLACED = f"""SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY h, id) - 1 AS j, count(*) OVER (PARTITION BY region, run) AS n,
+  row_number() OVER (PARTITION BY region, run, bucket ORDER BY h, id) - 1 AS inner_j, count(*) OVER (PARTITION BY region, run, bucket) AS c
+FROM (SELECT *, md5('order:' || id) AS h, ('0x' || substr(md5('order:' || id), 1, {S.BUCKET_HEX}))::BIGINT AS bucket FROM {{source}})"""
 KEYS = "SELECT * FROM (VALUES " + ", ".join(f"({b}, {h}::BIGINT, {w}::BIGINT)" for b, h, w in S.resample_keys(B_DRAWS, 1234)) + ") AS t(b, hi, lo)"
 
 
@@ -276,8 +278,16 @@ def word_sql(x: str) -> str:
     return f"xor({x} & 4294967295, (({x} >> 32) * 40503) & 4294967295)"
 
 
-DRAWS = f"""SELECT region, run, n, b, ((high << 30) + (low >> 2)) % n AS pick FROM (
-SELECT region, run, n, b, {mix_sql("xor(w, hi)")} AS high, {mix_sql("xor(w, lo)")} AS low FROM (SELECT region, run, n, b, hi, lo, {word_sql("j")} AS w FROM placed, resamples))"""
+# draws are counted by bucket, then made again inside the buckets with keys of their own
+COUNTED = f"""SELECT d.region, d.run, d.n, b, hi, lo, p.bucket, any_value(p.c) AS c, count(*) AS drawn FROM (
+SELECT region, run, n, b, hi, lo, ((high << 30) + (low >> 2)) % n AS pick FROM (
+SELECT region, run, n, b, hi, lo, {mix_sql("xor(w, hi)")} AS high, {mix_sql("xor(w, lo)")} AS low FROM (SELECT region, run, n, b, hi, lo, {word_sql("j")} AS w FROM placed, resamples))) d
+JOIN placed p ON p.region = d.region AND p.run = d.run AND p.j = pick GROUP BY d.region, d.run, d.n, b, hi, lo, p.bucket"""
+OWN_KEYS = f"SELECT region, run, n, b, bucket, c, drawn, {mix_sql('xor(hi, own)')} AS hi, {mix_sql('xor(lo, own)')} AS lo FROM (SELECT *, {mix_sql('(bucket + 1)')} AS own FROM counted)"
+DRAWS = f"""SELECT region, run, n, b, bucket, ((high << 30) + (low >> 2)) % c AS pick FROM (
+SELECT region, run, n, b, bucket, c, {mix_sql("xor(t, hi)")} AS high, {mix_sql("xor(t, lo)")} AS low FROM (SELECT *, unnest(range(drawn)) AS t FROM own_keys))"""
+DRAWN = {"resamples": KEYS, "counted": COUNTED, "own_keys": OWN_KEYS, "draws": DRAWS}
+MEETS = "p.region = d.region AND p.run = d.run AND p.bucket = d.bucket AND p.inner_j = pick"
 VERDICT = f"""SELECT region, run, round(delta, 6) AS delta, round(p, 6) AS p_value, round(wins / {B_DRAWS}.0::DOUBLE, 6) AS win_rate, p < 0.05 AS significant_05 FROM (
 SELECT *, CASE WHEN delta = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2.0::DOUBLE * (CASE WHEN delta > 0 THEN losses + ties ELSE wins + ties END) / {B_DRAWS}) END AS p FROM (
 SELECT region, run, count(*) FILTER (total > 0) AS wins, count(*) FILTER (total < 0) AS losses, count(*) FILTER (total = 0) AS ties FROM sums GROUP BY region, run)
@@ -290,10 +300,9 @@ JOIN (SELECT region, run, avg(diff) AS delta FROM diffs GROUP BY region, run) US
         "scores",
         f"""SELECT region, run, round_even(mean, 4) AS mean, round_even(max(m) FILTER (rn = {int(0.025 * B_DRAWS)}), 4) AS ci_lo, round_even(max(m) FILTER (rn = {min(B_DRAWS - 1, int(0.975 * B_DRAWS))}), 4) AS ci_hi
 FROM (SELECT *, row_number() OVER (PARTITION BY region, run ORDER BY m, b) - 1 AS rn FROM sums) JOIN (SELECT region, run, avg(score) AS mean FROM scores GROUP BY region, run) USING (region, run) GROUP BY region, run, mean""",
-        resamples=KEYS,
         placed=PLACED.format(source="scores"),
-        draws=DRAWS,
-        sums="SELECT d.region, d.run, b, sum(round(score * 1000000)::BIGINT) / max(d.n)::DOUBLE / 1000000 AS m FROM draws d JOIN placed p ON p.region = d.region AND p.run = d.run AND p.j = pick GROUP BY d.region, d.run, b",
+        **DRAWN,
+        sums=f"SELECT d.region, d.run, b, sum(round(score * 1000000)::BIGINT) / max(d.n)::DOUBLE / 1000000 AS m FROM draws d JOIN placed p ON {MEETS} GROUP BY d.region, d.run, b",
     ),
 )
 def sig01(spark, sf):
@@ -301,8 +310,8 @@ def sig01(spark, sf):
     return out.select("region", "run", "mean", "ci_lo", "ci_hi")
 
 
-BOOT_SUMS = "SELECT d.region, d.run, b, sum(round(diff * 1000000)::BIGINT) AS total FROM draws d JOIN placed p ON p.region = d.region AND p.run = d.run AND p.j = pick GROUP BY d.region, d.run, b"
-BOOT = {"pooled": POOLED, "diffs": DIFFS, "resamples": KEYS, "placed": PLACED.format(source="diffs"), "draws": DRAWS, "sums": BOOT_SUMS}
+BOOT_SUMS = f"SELECT d.region, d.run, b, sum(round(diff * 1000000)::BIGINT) AS total FROM draws d JOIN placed p ON {MEETS} GROUP BY d.region, d.run, b"
+BOOT = {"pooled": POOLED, "diffs": DIFFS, "placed": PLACED.format(source="diffs"), **DRAWN, "sums": BOOT_SUMS}
 
 
 @query("sig02_paired_bootstrap", with_views("scores", VERDICT, **{**BOOT, "pooled": "SELECT * FROM scores"}))
@@ -321,8 +330,7 @@ POISSON = {"pooled": POOLED, "diffs": DIFFS, "resamples": KEYS, "sums": POISSON_
 
 @query("sig02_poisson_bootstrap", with_views("scores", VERDICT, **{**POISSON, "pooled": "SELECT * FROM scores"}))
 def sig02_poisson(spark, sf):
-    differences = S.paired_differences(V.scores(spark, sf), V.BASELINE)
-    return S.poisson_bootstrap(differences, n_boot=B_DRAWS).drop("n_boot")
+    return S.paired_poisson(V.scores(spark, sf), V.BASELINE, n_boot=B_DRAWS).drop("n_boot")
 
 
 @query(

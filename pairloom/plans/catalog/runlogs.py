@@ -192,6 +192,5 @@ FROM light l LEFT JOIN frontier f ON f.region = l.region AND f.run = l.run LEFT
     ),
 )
 def ops14(spark, sf):
-    differences = S.paired_differences(V.scores(spark, sf), V.BASELINE)
-    block = S.poisson_bootstrap(differences, n_boot=B_DRAWS)
+    block = S.paired_poisson(V.scores(spark, sf), V.BASELINE, n_boot=B_DRAWS)
     return O.run_evidence(V.light_metrics(spark, sf), block, "arm2")

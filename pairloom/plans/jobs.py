@@ -221,7 +221,7 @@ def marker_ab(runs: DataFrame, control: str, arm: str, n_boot: int = 1000) -> Da
     wide = M.metrics_by(stats, ["do", "run"]).withColumnRenamed("do", "region")
     table = R.with_deltas(R.compare_runs(M.metrics_long(wide, ["region", "run"]), [control, arm]), arm, control)
     scores = stats.select(F.col("do").alias("region"), "run", "id", M.bleu_score("_bleu_rev").alias("score"))
-    test = S.poisson_bootstrap(S.paired_differences(scores, control), n_boot=n_boot)
+    test = S.paired_poisson(scores, control, n_boot=n_boot)
     verdict = test.select("region", "p_value", S.marker(F.col("p_value"), F.col("delta")).alias("verdict"))
     return table.join(verdict, "region", "left")
 

@@ -2,14 +2,16 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import classification as K, ordering as O, ranking as R, runlogs as L, significance as S
-from pairloom.plans import jobs
+from pairloom.plans import jobs, views as V
 from pairloom.sources import tables
 
 NAN = float("nan")
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def metrics(spark, runs, region="jejudo"):
@@ -142,13 +144,59 @@ def test_poisson_agrees_with_resampling(spark):
 
 def test_draws_are_uniform_and_match_the_driver(spark):
     assert spark.range(50).select(S.mix(F.col("id")).alias("m")).collect() == [(S.mix_number(i),) for i in range(50)]
-    rows = spark.range(40_000).select(F.col("id"), S._each_resample(2, 9))
-    picks = rows.select("b", S.pick(F.col("id"), F.lit(40_000)).alias("p"))
-    for r in picks.groupBy("b").agg(F.count_distinct("p").alias("d"), F.avg("p").alias("m"), F.min("p"), F.max("p")).collect():
-        assert abs(r.d / 40_000 - (1 - math.exp(-1))) < 0.01  # as many distinct rows as a true resample
-        assert abs(r.m - 20_000) < 400
-    far = spark.range(1).select(F.lit(5 << 33).alias("id"), S._each_resample(1, 9)).select(S.pick(F.col("id"), F.lit(1 << 40)).alias("p"))
-    assert 0 <= far.first().p < 1 << 40
+    (_, h, w), (_, h2, w2) = S.resample_keys(2, 9)
+    high, low = np.array([h, h2], np.uint32), np.array([w, w2], np.uint32)
+    assert S._matrix(np.arange(50), np.zeros(1, np.uint32))[:, 0].tolist() == [S.mix_number(i) for i in range(50)]
+    picks = S._picks(np.arange(40_000), high, low, 40_000)
+    for column in picks.T:
+        assert abs(len(set(column.tolist())) / 40_000 - (1 - math.exp(-1))) < 0.01  # as many distinct rows as a true resample
+        assert abs(column.mean() - 20_000) < 400 and 0 <= column.min() and column.max() < 40_000
+    assert 0 <= S._picks(np.array([5 << 33]), high, low, 1 << 40).max() < 1 << 40
+
+
+def test_draws_inside_buckets_are_a_resample(spark):
+    """Counts by bucket add up to n, inside a bucket every row is as likely, and the sums vary as those of n draws."""
+    n, b = 3000, 200
+    scores = spark.range(n).select(F.lit("r").alias("region"), F.lit("a").alias("run"), F.col("id"), F.col("id").cast("double").alias("score"))
+    ones = S._resample(scores.withColumn("score", F.lit(1.0)), ["region", "run"], "score", b, 7)
+    assert {r.total for r in ones.collect()} == {n * 1_000_000}
+    means = np.array([r.total / n / 1e6 for r in S._resample(scores, ["region", "run"], "score", b, 7).collect()])
+    assert len(means) == b and abs(means.mean() - (n - 1) / 2) < 4
+    assert abs(means.std() / (n / math.sqrt(12 * n)) - 1) < 0.15
+
+
+def test_pairs_cover_the_same_ids(spark):
+    """Repeated ids, missing ids, missing scores and regions without a baseline leave a run out; pooling pairs by id alone."""
+    rows = [("a", "base", i, 1.0) for i in range(6)] + [("b", "base", i, 1.0) for i in range(6, 9)]
+    rows += [("a", "full", i, 2.0) for i in range(6)] + [("b", "full", i, 3.0) for i in range(6, 9)]
+    rows += [("a", "twice", i, 2.0) for i in (0, 1, 2, 3, 4, 4)] + [("a", "null", i, None if i == 2 else 2.0) for i in range(6)]
+    rows += [("a", "part", i, 2.0) for i in range(5)] + [("c", "lone", i, 2.0) for i in range(6)] + [("a", "more", i, 2.0) for i in range(7)]
+    scores = spark.createDataFrame(rows, "region string, run string, id int, score double").repartition(5)
+    wanted = {("a", "full", 1.0), ("b", "full", 2.0), ("OVERALL", "full", (6 * 1.0 + 3 * 2.0) / 9)}
+    block = S.significance_block(scores, "base", n_boot=20)
+    assert {(r.region, r.run, r.delta) for r in block.collect()} == wanted
+    exact = S.significance_block(scores, "base", n_boot=20, exact=True)
+    assert {(r.region, r.run, r.delta) for r in exact.collect()} == wanted
+    assert S.significance_block(scores.limit(0), "base", n_boot=20).collect() == []
+
+
+def test_poisson_sums_equal_the_plain_sums(spark):
+    """The matrix form against the weights of every row and resample, also where doubles are not exact."""
+    for scale in (1.0, 1e8):
+        values = spark.range(1500).select(F.lit("x").alias("region"), F.lit("y").alias("run"), F.col("id"), ((F.col("id") * 37 % 101 - 50) * scale).alias("diff"))
+        got = {r.b: r.total for r in S._poisson_sums(values, ["region", "run"], 6, 3).collect()}
+        keys = [(b, h) for b, h, _ in S.resample_keys(6, 3)]
+        plain = values.select(S.row_number_hash("id").alias("r"), S._micro("diff").alias("v"))
+        for b, h in keys:
+            hashed = S.mix(S._word(F.col("r")).bitwiseXOR(F.lit(h).cast("bigint")))
+            assert got[b] == plain.agg(F.sum(S.poisson_weight(hashed) * F.col("v"))).first()[0]
+
+
+def test_one_scan_and_one_shuffle_of_scores(spark):
+    scores = V.scores(spark, SF_DIR)
+    plan = S.significance_block(scores, "base", n_boot=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == scores._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "Join" not in plan
 
 
 def test_ci(spark):
