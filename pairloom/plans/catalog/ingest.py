@@ -181,8 +181,8 @@ def ing10(spark, sf):
 @query("ing11_interval_join", sql(f"SELECT name, i + 1 AS number, len(ws) AS segments FROM sents WHERE NOT {BAD}"))
 def ing11(spark, sf):
     rows = T.decode_transcripts(V.transcripts(spark, sf)).filter(F.col("error").isNull())
-    each = rows.select("name", "segments", F.explode("sentences").alias("s"))
-    near = T.segments_between(F.col("segments"), F.col("s.start_s"), F.col("s.end_s"))
+    each = rows.select("name", "segments", "starts", F.explode("sentences").alias("s"))
+    near = T.segments_between(F.col("segments"), F.col("starts"), F.col("s.start_s"), F.col("s.end_s"))
     return each.select("name", F.col("s.number").cast("bigint").alias("number"), F.size(near).cast("bigint").alias("segments"))
 
 

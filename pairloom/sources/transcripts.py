@@ -8,6 +8,7 @@ Everything is a projection or an explode: one stage, no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom import schemas
@@ -278,19 +279,57 @@ def _moved(moves: Column, at: Column, needle: Column, run: Column, before: Colum
     return F.when(moves, behind).otherwise(before)
 
 
-def tag_of(items: Column, sentence_id: Column) -> Column:
-    """Tag of the first annotation item with this sentence id."""
-    hits = F.filter(items, lambda it: it["sentenceId"].eqNullSafe(sentence_id))
-    return F.get(hits, 0)["tagType"]
+#: arrays up to this size are searched item by item
+SHORT_ARRAY = 32
 
 
-def segments_between(segments: Column, start: Column, end: Column) -> Column:
-    """Segments whose start lies in [start, end + 0.01]."""
-    return F.filter(segments, lambda g: _starts_within(g, start, end))
+def _first_place(ordered: Column, below: Callable[[Column], Column]) -> Column:
+    """Number of items of an ordered array that are `below`, which holds for a head of it; by halving."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda k: k <= F.size(ordered))
+    return F.aggregate(
+        steps, F.lit(0), lambda at, k: F.when(F.coalesce(below(F.get(ordered, at + k - 1)), F.lit(False)), at + k).otherwise(at)
+    )
+
+
+def _tag_key(sentence_id: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), sentence_id), F.lit(""))
+
+
+def tags_by_id(items: Column) -> Column:
+    """Annotation items `key, i, tag` ordered by sentence id, then place; made once a document."""
+    keyed = F.transform(items, lambda it, i: F.struct(_tag_key(it["sentenceId"]).alias("key"), i.alias("i"), it["tagType"].alias("tag")))
+    return F.array_sort(F.coalesce(keyed, F.array().cast("array<struct<key:string,i:int,tag:string>>")))
+
+
+def tag_of(tags: Column, sentence_id: Column) -> Column:
+    """Tag of the first annotation item with this sentence id (null is an id too)."""
+
+    def found(key: Column) -> Column:
+        one = F.get(tags, _first_place(tags, lambda t: t["key"] < key))
+        return F.when(one["key"] == key, one["tag"])
+
+    return bind(_tag_key(sentence_id), found)
 
 
-def _starts_within(segment: Column, start: Column, end: Column) -> Column:
-    return (segment["at"] >= start) & (segment["at"] <= end + 0.01)
+def starts_of(segments: Column) -> Column:
+    """`at, i` of the segments, ordered by start; made once a document."""
+    return F.array_sort(F.transform(segments, lambda g, i: F.struct(g["at"].alias("at"), i.alias("i"))))
+
+
+def segments_between(segments: Column, starts: Column, start: Column, end: Column) -> Column:
+    """Segments whose start lies in [start, end + 0.01], in the order of the document.
+
+    In a long recording the bounds are found in `starts_of` by halving, so a sentence costs its own segments only.
+    """
+    few = F.filter(segments, lambda g: (g["at"] >= start) & (g["at"] <= end + 0.01))
+
+    def cut(bounds: Column) -> Column:
+        places = F.transform(F.slice(starts, bounds["low"] + 1, F.greatest(bounds["high"] - bounds["low"], F.lit(0))), lambda x: x["i"])
+        return F.transform(F.array_sort(places), lambda i: F.get(segments, i))
+
+    low = _first_place(starts, lambda x: x["at"] < start)
+    high = _first_place(starts, lambda x: x["at"] <= end + 0.01)
+    return F.when(F.size(segments) <= SHORT_ARRAY, few).otherwise(bind(F.struct(low.alias("low"), high.alias("high")), cut))
 
 
 def decoded(files: DataFrame, document: Column) -> DataFrame:
@@ -310,7 +349,10 @@ def _blank(text: Column) -> Column:
 
 
 def decode_transcripts(files: DataFrame) -> DataFrame:
-    """`path, name, sentences, segments, intents, emotions, error`, one row per file."""
+    """`path, name, sentences, segments, starts, intents, emotions, error`, one row per file.
+
+    `starts` orders the segments, `intents` and `emotions` the annotations for the look-ups of every sentence.
+    """
     doc = decoded(files, decode_json("content", schemas.TRANSCRIPT))
     nothing = F.array()
     segments = F.transform(
@@ -347,19 +389,19 @@ def decode_transcripts(files: DataFrame) -> DataFrame:
         name.alias("name"),
         sentences.alias("sentences"),
         segments.alias("segments"),
-        F.col("d.annotation.intents").alias("intents"),
-        F.col("d.annotation.emotions").alias("emotions"),
+        tags_by_id(F.col("d.annotation.intents")).alias("intents"),
+        tags_by_id(F.col("d.annotation.emotions")).alias("emotions"),
     )
-    rows = doc.select("path", F.inline(F.array(parts)))
+    # the order is an element of a generated row, so it is computed once and not copied into every sentence's look-up
+    rows = doc.select("path", F.inline(F.array(parts))).select("*", F.explode(F.array(starts_of(F.col("segments")))).alias("starts"))
     bad_sentence = F.exists(
         "sentences", lambda s: s["start_s"].isNull() | s["end_s"].isNull() | s["number"].isNull()
     )
     # an end time is only read for a spoken segment with a start inside some sentence
-    bad_ends = F.filter(
-        "segments", lambda g: g["has_start"] & g["has_end"] & g["end_s"].isNull() & ~_blank(g["dialect"])
-    )
-    read = lambda g: F.exists("sentences", lambda s: _starts_within(g, s["start_s"], s["end_s"]))
-    bad_segment = F.exists("segments", lambda g: g["at"].isNull()) | F.exists(bad_ends, read)
+    bad_end = lambda g: g["has_start"] & g["has_end"] & g["end_s"].isNull() & ~_blank(g["dialect"])
+    own = lambda s: segments_between(F.col("segments"), F.col("starts"), s["start_s"], s["end_s"])
+    bad_read = F.when(F.exists("segments", bad_end), F.exists("sentences", lambda s: F.exists(own(s), bad_end))).otherwise(F.lit(False))
+    bad_segment = F.exists("segments", lambda g: g["at"].isNull()) | bad_read
     error = (
         F.when(F.coalesce(F.size("sentences"), F.lit(0)) <= 0, F.lit(EMPTY))
         .when(bad_sentence, F.lit("sentence without valid time or number"))
@@ -386,7 +428,7 @@ def parse(files: DataFrame) -> DataFrame:
     own = F.transform(
         "sentences",
         lambda s: s.withField(
-            "near", segments_between(F.col("segments"), s["start_s"], s["end_s"])
+            "near", segments_between(F.col("segments"), F.col("starts"), s["start_s"], s["end_s"])
         ),
     )
     rows = documents.select(

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -302,3 +303,52 @@ def test_an_end_time_counts_only_where_it_is_read(parse):
         assert (row.standard, row.error) == ("가", None)
     (row,) = parse(document([given], [{"startTime": given["startTime"], "endTime": "1:2", "dialect": "거"}]))
     assert row.error == "segment with malformed time"
+
+
+def clock(seconds):
+    return f"{int(seconds) // 3600:02d}:{int(seconds) // 60 % 60:02d}:{seconds % 60:06.3f}"
+
+
+def test_long_recording_takes_its_own_segments(parse):
+    """100,000 segments out of order and 10,000 sentences: the segments of each sentence, in the document's order."""
+    n, per = 100_000, 10
+    order = sorted(range(n), key=lambda i: (i * 7919) % n)
+    segments = [seg(f"w{i}", standard=f"s{i}", start=clock(i / 10), end=clock(i / 10 + 0.05)) for i in order]
+    sentences = [
+        sentence(" ".join(f"s{i}" for i in own), " ".join(f"w{i}" for i in own), number=str(k), start=clock(own[0] / 10), end=clock(own[-1] / 10))
+        for k in range(n // per)
+        for own in [sorted(range(per * k, per * k + per), key=lambda i: (i * 7919) % n)]
+        for own in [sorted(own)]
+    ]
+    began = time.time()
+    rows = parse(document(sentences, segments))
+    assert len(rows) == n // per and time.time() - began < 60
+    place = {i: k for k, i in enumerate(order)}
+    for r in rows[:: n // per // 50]:
+        k = int(r.id.rsplit("_", 1)[1])
+        own = sorted(range(per * k, per * k + per), key=place.get)
+        spoken, at = [], -1
+        for i in own:  # one pointer forward through the sentence, in the order of the document
+            if i > at:
+                spoken.append((i - per * k, f"w{i}"))
+                at = i
+        assert [(e.standard_idx, e.dialect) for e in r.dialect_eojeol_map] == spoken
+
+
+@pytest.mark.parametrize("n", [5, 32, 33, 500])
+def test_interval_search_equals_the_filter(spark, n):
+    segments = [float((i * 37) % 50) / 4 for i in range(n)] + [-1.0]
+    df = spark.createDataFrame([([(x,) for x in segments],)], "g array<struct<at: double>>")
+    bounds = [(0.0, 3.0), (3.0, 2.0), (-2.0, 100.0), (12.25, 12.25), (50.0, 60.0), (2.99, 3.24), (-1.0, -1.0)]
+    for low, high in bounds:
+        near = T.segments_between(F.col("g"), T.starts_of(F.col("g")), F.lit(low), F.lit(high))
+        assert [x.at for x in df.select(near.alias("n")).first().n] == [x for x in segments if low <= x <= high + 0.01]
+
+
+def test_first_annotation_of_an_id_counts(parse, spark):
+    tags = [{"sentenceId": str(i % 40), "tagType": f"t{i}"} for i in range(200)] + [{"sentenceId": None, "tagType": "none"}, {"tagType": "later"}]
+    rows = parse(document([sentence("a", "b", number=str(k)) for k in (0, 7, 39, 40)], intents=tags))
+    assert [r.intent for r in rows] == ["t0", "t7", "t39", None]
+    items = spark.createDataFrame([([(None, "x"), ("b", "y"), (None, "z"), ("", "e")],)], "i array<struct<sentenceId: string, tagType: string>>")
+    found = [T.tag_of(T.tags_by_id(F.col("i")), F.lit(k).cast("string")) for k in (None, "b", "", "a")]
+    assert list(items.select(*found).first()) == ["x", "y", "e", None]
