@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pairloom.constants import DIALECT_ENDINGS, LABELS, REGIONS, STANDARD_LABEL
 from pairloom.functions.scores import region_label
@@ -83,27 +83,28 @@ def classifier_candidates(
     return df.withColumn("_near", near).select("id", "split", sides).select("id", "split", "c.*")
 
 
+def text_hash(text: Column | str = "text") -> Column:
+    """128 bits of a text; texts with equal hashes count as equal."""
+    return F.unhex(F.md5(F.col(text) if isinstance(text, str) else text))
+
+
 def label_collisions(rows: DataFrame) -> DataFrame:
-    """(split, text) that carry more than one label.
+    """`split, text_hash` of the texts that carry more than one label; rows have `text` or `text_hash`.
 
-    Min and max merge, so a text that fills a third of the table shrinks before the shuffle.
+    Min and max merge, so a text that fills a third of the table shrinks before the shuffle, and only hashes are shuffled.
     """
+    hashed = rows if "text_hash" in rows.columns else rows.withColumn("text_hash", text_hash())
     return (
-        rows.groupBy("split", "text")
+        hashed.groupBy("split", "text_hash")
         .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
         .filter(F.col("_lo") != F.col("_hi"))
-        .select("split", "text")
+        .select("split", "text_hash")
     )
 
 
 def drop_label_collisions(rows: DataFrame) -> DataFrame:
-    """Rows whose text has one label in its split; adaptive skew join splits a hot text.
-
-    The gates before this step are the expensive part and both sides read their rows, so these
-    are computed once.
-    """
-    rows = cut_lineage(rows)
-    return rows.join(label_collisions(rows), ["split", "text"], "left_anti")
+    """Rows whose text has one label in its split."""
+    return curate(rows)
 
 
 _COLLIDED = -1
@@ -141,20 +142,75 @@ def downsample(
     seed: int = 42,
 ) -> DataFrame:
     """Exact class caps on the named splits, a repeatable sample; other splits stay whole."""
-    if max_per_label is None and standard_cap_ratio is None:
+    return curate(rows, False, max_per_label, standard_cap_ratio, splits, seed)
+
+
+PREFIX_DIGITS = 4
+_PLACE = ["_key", "id", "side"]
+
+
+def _cut_points(slim: DataFrame, caps: DataFrame) -> DataFrame:
+    """`split, label, cap, _last, _spare`: the place of the cap-th row of every class that has more rows.
+
+    A histogram of the leading digits of the sampling hash names the bucket that holds this row, and only the rows of
+    that bucket are ranked. `_spare` counts rows at the same place that would exceed the cap (repeated ids).
+    """
+    prefix = F.substring("_key", 1, PREFIX_DIGITS).alias("_prefix")
+    over = slim.join(F.broadcast(caps), ["split", "label"]).filter("cap < n")
+    bins = over.groupBy("split", "label", "cap", prefix).agg(F.count(F.lit(1)).alias("_c"))
+    upto = W.partitionBy("split", "label").orderBy("_prefix")
+    edge = bins.withColumn("_end", F.sum("_c").over(upto)).filter("_end - _c < cap AND cap <= _end")
+    edge = edge.select("split", "label", "_prefix", (F.col("cap") - F.col("_end") + F.col("_c")).alias("_rank"))
+    inside = slim.withColumn("_prefix", prefix).join(F.broadcast(edge), ["split", "label", "_prefix"])
+    same = W.partitionBy("split", "label", *_PLACE)
+    ranked = inside.withColumn("_at", F.row_number().over(W.partitionBy("split", "label").orderBy(*_PLACE)))
+    ranked = ranked.withColumn("_most", F.max("_at").over(same)).filter("_at = _rank")
+    last = ranked.select("split", "label", F.struct(*_PLACE).alias("_last"), (F.col("_most") - F.col("_rank")).alias("_spare"))
+    return caps.filter("cap < n").join(last, ["split", "label"], "left").select("split", "label", "cap", "_last", "_spare")
+
+
+def curate(
+    rows: DataFrame,
+    drop_collisions: bool = True,
+    max_per_label: int | None = None,
+    standard_cap_ratio: float | None = None,
+    splits: Sequence[str] = ("train",),
+    seed: int = 42,
+) -> DataFrame:
+    """Rows `id, side, text, label, split` without texts of several labels, then with class caps on the named splits.
+
+    One pass keeps id, side, label and hashes; it gives the few hashes of collided texts and the place of the last
+    row of every capped class. The result is a second pass over the rows that compares each with these,
+    so no text is shuffled or written (unless there are more collided texts than may be broadcast).
+    """
+    capped = max_per_label is not None or standard_cap_ratio is not None
+    if not drop_collisions and not capped:
         return rows
-    rows = cut_lineage(rows)  # sizes, offsets and the sample all read it
+    place = {"text_hash": text_hash(), "_key": hash_key(seed, "id", "label")}
+    keyed = rows.withColumns(place)
+    slim = cut_lineage(keyed.select("id", "side", "label", "split", *place))
+    if drop_collisions:
+        collided = cut_lineage(label_collisions(slim))
+        without = lambda df: join_bounded(df, collided, ["split", "text_hash"], "left_anti", stored=True)
+        slim, keyed = without(slim), without(keyed)
+    if not capped:
+        return keyed.select(*rows.columns)
     inside = F.col("split").isin(*splits)
-    capped = rows.filter(inside)
-    caps = class_caps(capped, max_per_label, standard_cap_ratio).select("split", "label", "cap")
+    caps = cut_lineage(class_caps(slim.filter(inside), max_per_label, standard_cap_ratio).select("split", "label", "n", "cap"))
+    cuts = cut_lineage(_cut_points(slim.filter(inside), caps))  # one row per split and label
+    if cuts.filter("_spare > 0").isEmpty():
+        met = keyed.join(F.broadcast(cuts), ["split", "label"], "left")
+        kept = met.filter(F.col("cap").isNull() | F.coalesce(F.struct(*_PLACE) <= F.col("_last"), F.lit(False)))
+        return kept.select(*rows.columns)
+    # repeated ids at a cut point: these classes are placed row by row
     sampled = with_position(
-        join_bounded(capped, caps, ["split", "label"]),
+        join_bounded(keyed.filter(inside), caps.select("split", "label", "cap"), ["split", "label"]),
         ["split", "label"],
-        hash_key(seed, "id", "label"),
+        F.col("_key"),
         ["id", "side"],
         limit="cap",
     )
-    return sampled.select(*rows.columns).unionByName(rows.filter(~inside))
+    return sampled.select(*rows.columns).unionByName(keyed.filter(~inside).select(*rows.columns))
 
 
 def classifier_table(
@@ -172,9 +228,7 @@ def classifier_table(
     """`id, side, text, label, split` after all gates."""
     rows = classifier_candidates(df, filter_identical, min_distance, denoise, endings)
     rows = rows.filter(F.col("drop_reason").isNull()).drop("drop_reason")
-    if drop_collisions:
-        rows = drop_label_collisions(rows)
-    return downsample(rows, max_per_label, standard_cap_ratio, downsample_splits, seed).select(
+    return curate(rows, drop_collisions, max_per_label, standard_cap_ratio, downsample_splits, seed).select(
         "id", "side", "text", "label", "split"
     )
 
@@ -194,7 +248,7 @@ def gate_report(
     built = F.col("drop_reason").isNull()
     by_text = (
         classifier_candidates(df, **gates)
-        .groupBy("split", "drop_reason", F.when(built, F.col("text")).alias("text"))
+        .groupBy("split", "drop_reason", F.when(built, text_hash()).alias("text_hash"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
     )
     one_label = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(_COLLIDED)

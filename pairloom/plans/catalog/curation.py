@@ -66,8 +66,8 @@ FROM kept k JOIN caps USING (split, label)) WHERE split <> 'train' OR rn <= cap"
     with_views("kept", "SELECT id, side, label, split FROM sampled", caps=CAPS, sampled=SAMPLED),
 )
 def flt07(spark, sf):
-    rows = C.drop_label_collisions(built(spark, sf))
-    return C.downsample(rows, PER_LABEL, RATIO, seed=SEED).select("id", "side", "label", "split")
+    rows = C.curate(built(spark, sf), True, PER_LABEL, RATIO, seed=SEED)
+    return rows.select("id", "side", "label", "split")
 
 
 @query("flt08_class_count", with_views("kept", "SELECT split, (coalesce(max(label), 0) + 1)::INTEGER AS num_labels FROM kept GROUP BY split"))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.functions import chat
+from pairloom.operators import ordering as O
 from pairloom.operators import builders as B, curation as C
 from pairloom.plans import jobs
 from pairloom.sources import tables
@@ -78,6 +79,29 @@ def test_class_caps(spark, counts, cap, ratio, want):
     assert out.distinct().count() == out.count()
 
 
+def test_caps_are_the_smallest_hashes(spark):
+    """The sample is that of a plain ranking, also at cut points inside a bucket."""
+    rows = labelled(spark, {0: 3000, 1: 700})
+    ranked = rows.withColumn("k", O.hash_key(42, "id", "label")).toPandas().sort_values(["k", "id"])
+    out = C.downsample(rows, 500, None).toPandas()
+    for label in (0, 1):
+        assert set(out[out.label == label].id) == set(ranked[ranked.label == label].id.head(500))
+
+
+def test_caps_hold_with_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, "dialect", f"t{i}", 1, "train") for i in range(30)], "id int, side string, text string, label int, split string")
+    out = C.downsample(rows.unionByName(labelled(spark, {0: 40})), 7, None)
+    assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {0: 7, 1: 7}
+
+
+def test_no_text_is_shuffled(spark):
+    rows = labelled(spark, {0: 400, 1: 100}).repartition(3)
+    out = C.curate(rows, True, 50, 1.5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan  # what needs a shuffle reads the narrow checkpoint only
+    assert out.filter("label = 0").count() == 50
+
+
 def test_class_weights(spark):
     rows = labelled(spark, {0: 6, 2: 2})
     balanced = {r.label: r.weight for r in C.class_weights(rows).collect()}
