@@ -176,16 +176,19 @@ def curate(
     standard_cap_ratio: float | None = None,
     splits: Sequence[str] = ("train",),
     seed: int = 42,
+    keys_only: bool = False,
 ) -> DataFrame:
     """Rows `id, side, text, label, split` without texts of several labels, then with class caps on the named splits.
 
     One pass keeps id, side, label and hashes; it gives the few hashes of collided texts and the place of the last
     row of every capped class. The result is a second pass over the rows that compares each with these,
-    so no text is shuffled or written (unless there are more collided texts than may be broadcast).
+    so no text is shuffled or written (unless there are more collided texts than may be broadcast). With
+    `keys_only` the texts are left out, and the rows are read once.
     """
     capped = max_per_label is not None or standard_cap_ratio is not None
+    names = ["id", "side", "label", "split"] if keys_only else rows.columns
     if not drop_collisions and not capped:
-        return rows
+        return rows.select(*names)
     place = {"text_hash": text_hash(), "_key": hash_key(seed, "id", "label")}
     keyed = rows.withColumns(place)
     slim = cut_lineage(keyed.select("id", "side", "label", "split", *place))
@@ -193,15 +196,16 @@ def curate(
         collided = cut_lineage(label_collisions(slim))
         without = lambda df: join_bounded(df, collided, ["split", "text_hash"], "left_anti", stored=True)
         slim, keyed = without(slim), without(keyed)
+    keyed = slim if keys_only else keyed
     if not capped:
-        return keyed.select(*rows.columns)
+        return keyed.select(*names)
     inside = F.col("split").isin(*splits)
     caps = cut_lineage(class_caps(slim.filter(inside), max_per_label, standard_cap_ratio).select("split", "label", "n", "cap"))
     cuts = cut_lineage(_cut_points(slim.filter(inside), caps))  # one row per split and label
     if cuts.filter("_spare > 0").isEmpty():
         met = keyed.join(F.broadcast(cuts), ["split", "label"], "left")
         kept = met.filter(F.col("cap").isNull() | F.coalesce(F.struct(*_PLACE) <= F.col("_last"), F.lit(False)))
-        return kept.select(*rows.columns)
+        return kept.select(*names)
     # repeated ids at a cut point: these classes are placed row by row
     sampled = with_position(
         join_bounded(keyed.filter(inside), caps.select("split", "label", "cap"), ["split", "label"]),
@@ -210,7 +214,7 @@ def curate(
         ["id", "side"],
         limit="cap",
     )
-    return sampled.select(*rows.columns).unionByName(keyed.filter(~inside).select(*rows.columns))
+    return sampled.select(*names).unionByName(keyed.filter(~inside).select(*names))
 
 
 def classifier_table(

@@ -66,13 +66,12 @@ FROM kept k JOIN caps USING (split, label)) WHERE split <> 'train' OR rn <= cap"
     with_views("kept", "SELECT id, side, label, split FROM sampled", caps=CAPS, sampled=SAMPLED),
 )
 def flt07(spark, sf):
-    rows = C.curate(built(spark, sf), True, PER_LABEL, RATIO, seed=SEED)
-    return rows.select("id", "side", "label", "split")
+    return C.curate(built(spark, sf), True, PER_LABEL, RATIO, seed=SEED, keys_only=True)
 
 
 @query("flt08_class_count", with_views("kept", "SELECT split, (coalesce(max(label), 0) + 1)::INTEGER AS num_labels FROM kept GROUP BY split"))
 def flt08(spark, sf):
-    return C.class_count(C.drop_label_collisions(built(spark, sf)), ["split"])
+    return C.class_count(C.curate(built(spark, sf), keys_only=True), ["split"])
 
 
 @query(
@@ -148,7 +147,7 @@ GRID = f"SELECT t.label::INTEGER AS label, coalesce(n, 0) AS n, greatest(coalesc
     ),
 )
 def flt14(spark, sf):
-    rows = C.drop_label_collisions(built(spark, sf)).select("label")
+    rows = C.curate(built(spark, sf), keys_only=True).select("label")
     balanced = C.class_weights(rows, "balanced").withColumnRenamed("weight", "balanced")
     inverse = C.class_weights(rows, "inverse").select("label", F.col("weight").alias("inverse"))
     return balanced.join(inverse, "label")

@@ -132,28 +132,53 @@ def ldb09(spark, sf):
     return R.overall_rows(light(spark, sf), weights).select("run", "metric", "value", "n_regions")
 
 
+BY_FIDELITY = "SELECT region, run, row_number() OVER (PARTITION BY region ORDER BY y DESC, run_order) AS rank FROM {axes}"
+RECORD = """SELECT r.region AS target_do, any_value(n.weight)::BIGINT AS n_samples, 'reconstruction_bleu' AS select_by, min(r.run) FILTER (rank = 1) AS best_run, string_agg(r.run, ',' ORDER BY rank) AS ranking,
+  string_agg(r.run, ',' ORDER BY rank) FILTER (f.run IS NOT NULL) AS pareto_frontier, 'copy_margin,reconstruction_bleu' AS pareto_axes,
+  string_agg(r.run || '=' || printf('%.4f', round_even(joint, 4)), ',' ORDER BY rank) AS joint_score, count(*) AS n_rows
+FROM by_fidelity r LEFT JOIN frontier f ON f.region = r.region AND f.run = r.run JOIN joint j ON j.region = r.region AND j.run = r.run LEFT JOIN region_n n ON n.region = r.region GROUP BY r.region"""
+
+
+def _record_columns() -> list:
+    joints = F.transform("ranking", lambda r: F.concat(r, F.lit("="), F.format_string("%.4f", F.element_at("joint_score", r))))
+    return [
+        "target_do", "n_samples", "select_by", "best_run",
+        F.array_join("ranking", ",").alias("ranking"),
+        F.array_join("pareto_frontier", ",").alias("pareto_frontier"),
+        F.array_join("pareto_axes", ",").alias("pareto_axes"),
+        F.array_join(joints, ",").alias("joint_score"),
+        F.size("rows").cast("bigint").alias("n_rows"),
+    ]
+
+
+def _weights(spark, sf):
+    return V.gold(spark, sf).groupBy(F.col("do").alias("region")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 @query(
     "ldb10_leaderboard_record",
+    with_views("light gold", RECORD, axes=AXES, frontier=FRONTIER, joint=JOINT, region_n=REGION_N, by_fidelity=BY_FIDELITY.format(axes="axes")),
+)
+def ldb10(spark, sf):
+    record = jobs.leaderboard_records(light(spark, sf), V.BASELINE, samples=_weights(spark, sf))
+    return record.select(*_record_columns())
+
+
+@query(
+    "ldb10_record_values",
     with_views(
         "light",
-        """SELECT r.region AS target_do, min(r.run) FILTER (rank = 1) AS best_run, string_agg(r.run, ',' ORDER BY rank) AS ranking,
-  string_agg(r.run, ',' ORDER BY rank) FILTER (f.run IS NOT NULL) AS pareto_frontier, round_even(max(joint) FILTER (r.run = 'base'), 4) AS joint_base
-FROM by_fidelity r LEFT JOIN frontier f ON f.region = r.region AND f.run = r.run JOIN joint j ON j.region = r.region AND j.run = r.run GROUP BY r.region""",
-        axes=AXES,
-        frontier=FRONTIER,
-        joint=JOINT,
-        by_fidelity="SELECT region, run, row_number() OVER (PARTITION BY region ORDER BY y DESC, run_order) AS rank FROM axes",
+        f"""SELECT a.region AS target_do, a.run, a.metric, round({CLEAN.replace("value", "a.value")}, 6) AS value, round(CASE WHEN isnan(a.value - b.value) THEN NULL ELSE a.value - b.value END, 6) AS delta
+FROM light a LEFT JOIN light b ON b.region = a.region AND b.metric = a.metric AND b.run = 'base' AND a.run <> 'base' AND a.metric IN ({', '.join(quoted(m) for m in LEADERBOARD_METRICS)})""",
     ),
 )
-def ldb10(spark, sf):
+def ldb10_values(spark, sf):
+    """All values and deltas of the records."""
     record = jobs.leaderboard_records(light(spark, sf), V.BASELINE)
-    return record.select(
-        "target_do",
-        "best_run",
-        F.array_join("ranking", ",").alias("ranking"),
-        F.array_join("pareto_frontier", ",").alias("pareto_frontier"),
-        F.element_at("joint_score", V.BASELINE).alias("joint_base"),
-    )
+    runs = record.select("target_do", "deltas_vs_baseline", F.explode("rows").alias("run", "metrics"))
+    each = runs.select("target_do", "run", F.element_at("deltas_vs_baseline", F.col("run")).alias("d"), F.explode("metrics").alias("metric", "value"))
+    number = lambda x: F.when(~F.isnan(x), x)
+    return each.select("target_do", "run", "metric", number(F.col("value")).alias("value"), number(F.element_at("d", F.col("metric"))).alias("delta"))
 
 
 _body, _ctes = wide_sql("mapped", BY, ROW, places=12)
@@ -180,6 +205,35 @@ def ldb11(spark, sf):
     return run_metrics.select("region", "run", "metric", F.round("value", 5).alias("value"))
 
 
+POOLED_AXES = AXES.replace("FROM light", "FROM pooled_light")
+POOLED_LIGHT = "SELECT 'OVERALL' AS region, run, run_order, metric, value FROM overall"
+
+
+@query(
+    "ldb11_multi_region_record",
+    with_views(
+        "light gold",
+        f"""SELECT 'OVERALL' AS target_do, (SELECT sum(weight) FROM region_n)::BIGINT AS n_samples, r.* EXCLUDE (target_do, n_samples),
+  (SELECT string_agg(region, ',' ORDER BY region) FROM region_n) AS regions, (SELECT string_agg(region || '=' || weight::BIGINT, ',' ORDER BY region) FROM region_n) AS region_weights,
+  (SELECT count(*) FROM region_n) AS n_records FROM ({RECORD}) r""",
+        region_n=REGION_N,
+        overall=overall_sql("light"),
+        pooled_light=POOLED_LIGHT,
+        axes=POOLED_AXES,
+        frontier=FRONTIER,
+        joint=JOINT,
+        by_fidelity=BY_FIDELITY.format(axes="axes"),
+    ),
+)
+def ldb11_record(spark, sf):
+    """The OVERALL record with its regions and weights."""
+    weights = _weights(spark, sf)
+    records = jobs.leaderboard_records(R.with_overall(light(spark, sf), weights), V.BASELINE, samples=weights)
+    whole = jobs.multi_region_record(records).select("overall.*", F.size("per_region").cast("bigint").alias("n_records"))
+    pairs = F.transform("regions", lambda r: F.concat(r, F.lit("="), F.element_at("region_weights", r).cast("bigint").cast("string")))
+    return whole.select(*_record_columns(), F.array_join("regions", ",").alias("regions"), F.array_join(pairs, ",").alias("region_weights"), "n_records")
+
+
 @query(
     "ldb13_run_list",
     with_views("gens", "SELECT run, run = 'base' AS is_baseline, row_number() OVER (ORDER BY (run = 'base') DESC, run)::INTEGER - 1 AS run_order FROM (SELECT DISTINCT run FROM gens)"),

@@ -151,9 +151,16 @@ def leaderboard_rows(run_metrics: DataFrame, select_by: str = FIDELITY_AXIS) ->
 
 
 def leaderboard_records(
-    run_metrics: DataFrame, baseline: str, select_by: str = FIDELITY_AXIS, significance: DataFrame | None = None
+    run_metrics: DataFrame,
+    baseline: str,
+    select_by: str = FIDELITY_AXIS,
+    significance: DataFrame | None = None,
+    samples: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested record per region, ready for a JSON sink (rows are runs, so lists are short)."""
+    """One nested record per region, ready for a JSON sink (rows are runs, so lists are short).
+
+    `samples(region, weight)` gives `n_samples`, the sum of all regions for OVERALL; without it that is null.
+    """
     rows = leaderboard_rows(run_metrics, select_by)
     ranking = rows.groupBy("region").agg(
         F.sort_array(F.collect_list(F.struct("rank", "run", "on_frontier", F.bround("joint", 4).alias("joint")))).alias("_r")
@@ -181,9 +188,16 @@ def leaderboard_records(
         )
         record = record.join(sig, "region", "left")
     extra = ["significance_vs_baseline"] if significance is not None else []
+    n_samples = F.lit(None).cast("bigint")
+    if samples is not None:
+        sized = samples.select("region", F.col("weight").cast("bigint").alias("_n"))
+        pooled = sized.agg(F.lit("OVERALL").alias("region"), F.sum("_n").alias("_n"))
+        record = record.join(sized.unionByName(pooled), "region", "left")
+        n_samples = F.col("_n")
     return record.select(
         F.lit(SCHEMA_ONE).alias("schema"),
         F.col("region").alias("target_do"),
+        n_samples.alias("n_samples"),
         F.lit(select_by).alias("select_by"),
         F.get("_r", F.lit(0))["run"].alias("best_run"),
         F.transform("_r", lambda r: r["run"]).alias("ranking"),
@@ -199,20 +213,29 @@ def leaderboard_records(
 
 def leaderboard(runs: DataFrame, baseline: str, select_by: str = FIDELITY_AXIS, n_boot: int = 1000) -> DataFrame:
     """Metrics, ranking and significance of a run table: one record per region and OVERALL."""
-    run_metrics, scores, _ = evaluate_runs(runs, baseline)
+    run_metrics, scores, weights = evaluate_runs(runs, baseline)
     block = S.significance_block(scores, baseline, n_boot=n_boot)
-    return leaderboard_records(run_metrics, baseline, select_by, block)
+    return leaderboard_records(run_metrics, baseline, select_by, block, weights)
 
 
 def multi_region_record(records: DataFrame, select_by: str = FIDELITY_AXIS) -> DataFrame:
-    """All region records and OVERALL in one row (regions are few)."""
+    """All region records and OVERALL in one row (regions are few).
+
+    The OVERALL record, null where there is none, also names its regions and their weights (samples).
+    """
     body = F.struct(*[F.col(c) for c in records.columns])
     is_overall = F.col("target_do") == "OVERALL"
-    return records.agg(
+    own = F.when(~is_overall, F.struct("target_do", F.col("n_samples").cast("double").alias("weight")))
+    gathered = records.agg(
         F.map_from_entries(F.collect_list(F.when(~is_overall, F.struct("target_do", body)))).alias("per_region"),
-        F.max_by(F.when(is_overall, body), is_overall).alias("overall"),
+        F.max_by(F.when(is_overall, body), is_overall).alias("_overall"),
         F.sort_array(F.collect_list(F.when(~is_overall, F.col("target_do")))).alias("regions"),
-    ).withColumns({"schema": F.lit(SCHEMA_MULTI), "select_by": F.lit(select_by)})
+        F.map_from_entries(F.sort_array(F.collect_list(own))).alias("_weights"),
+    )
+    whole = F.struct(*[F.col(f"_overall.{c}").alias(c) for c in records.columns], "regions", F.col("_weights").alias("region_weights"))
+    return gathered.select(
+        "per_region", F.when(F.col("_overall").isNotNull(), whole).alias("overall"), "regions", F.lit(SCHEMA_MULTI).alias("schema"), F.lit(select_by).alias("select_by")
+    )
 
 
 def marker_ab(runs: DataFrame, control: str, arm: str, n_boot: int = 1000) -> DataFrame:

@@ -107,6 +107,28 @@ def test_leaderboard_record_is_json(spark, tmp_path):
     assert [r.k for r in kinds.collect()] == ["leaderboard_multi", "leaderboard"]
 
 
+def test_classifier_report_against_a_plain_count(spark):
+    from pairloom.plans.catalog import CATALOG
+    from pairloom.plans.catalog.classification import held_out_predictions
+
+    scored = held_out_predictions(spark, SF_DIR)
+    rows = [(r.label, r.pred_label, r.probs, r.conf) for r in scored.collect()]
+    got = {r.label: r for r in K.class_report(scored).collect()}
+    labels = {t for t, *_ in rows}
+    assert labels <= set(got)
+    for label in labels:
+        hits = sum(t == p == label for t, p, *_ in rows)
+        said, there = sum(p == label for _, p, *_ in rows), sum(t == label for t, *_ in rows)
+        precision, recall = hits / said if said else 0.0, hits / there
+        f1 = 2 * precision * recall / (precision + recall) if hits else 0.0
+        assert (got[label].precision, got[label].recall, got[label].f1) == pytest.approx((precision, recall, f1), abs=1e-6)
+        assert got[label].support == there
+    assert all(abs(sum(p) - 1) < 1e-6 and p[k] == c == max(p) for _, k, p, c in rows)
+    assert sum(t == p for t, p, *_ in rows) > max(sum(t == k for t, *_ in rows) for k in labels)
+    again = {r.label: r.support for r in CATALOG["cls05_text_classifier"].run(spark, SF_DIR).collect()}
+    assert {k: again[k] for k in labels} == {k: got[k].support for k in labels}
+
+
 # ---- significance --------------------------------------------------------------------------
 
 
