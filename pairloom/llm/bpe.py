@@ -70,6 +70,36 @@ class Recent:
             self.old, self.young = self.young, ({}, {})
 
 
+# Where the character tables of the tokenizer differ from those of `regex` and of `str.lower`.
+#: letters and digits of `regex` that are neither to the tokenizer (its patterns are at Unicode 16), as (first, last)
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: capitals that the tokenizer lowers (at Unicode 17) and older tables don't, as (first, last, lower form of the first)
+CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: a character that no version assigns
+UNASSIGNED = "\U000effff"
+
+
+def _one_of(spans: tuple) -> regex.Pattern:
+    return regex.compile("[" + "".join(f"{chr(s[0])}-{chr(s[1])}" for s in spans) + "]")
+
+
+_NO_LETTER, _CAPITAL = _one_of(NO_LETTERS), _one_of(CAPITALS)
+_LOWER = {c: low + c - first for first, last, low in CAPITALS for c in range(first, last + 1)}
+
+
 class WordBpe:
     """Tables of one tokenizer and the pieces encoded so far."""
 
@@ -331,15 +361,22 @@ class WordBpe:
             if k % 2:
                 out.append(self.special[raw])
             elif raw:
-                out += self.words.findall(self._lowered(raw))
+                out += self._split(self._lowered(raw))
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """The words of a text; characters that its tables don't know are no letters or digits to the tokenizer."""
+        if text.isascii() or not _NO_LETTER.search(text):
+            return self.words.findall(text)
+        return [text[m.start() : m.end()] for m in self.words.finditer(_NO_LETTER.sub(UNASSIGNED, text))]
+
     @staticmethod
     def _lowered(raw: str) -> str:
         if raw.isascii():
             return raw.lower()
         # each letter is lowered by itself, a final sigma too
-        return unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+        low = unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+        return low.translate(_LOWER) if _CAPITAL.search(low) else low
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet, all of a batch together."""

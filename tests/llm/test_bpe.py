@@ -44,6 +44,13 @@ def test_random_words(ours, library):
     same(ours, library, texts)
 
 
+def test_all_planes(ours, library):
+    """Every code point beside letters, digits and itself; of the large blocks of ideographs every 16th."""
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF and (c < 0x20000 or c % 16 == 0 or 0x2A600 < c < 0x33500)]
+    for first in range(0, len(points), 5000):
+        same(ours, library, [f"a{c}b 1{c}2{c}{c.upper()} {c}" for c in map(chr, points[first : first + 5000])])
+
+
 def test_cache_forgets_without_harm(library):
     small = WordBpe(open(PATH, encoding="utf-8").read())
     small.seen, small.seen_words = Recent(6), Recent(4)
