@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pairloom.constants import DIALECT_ENDINGS, LABELS, REGIONS, STANDARD_LABEL
 from pairloom.functions.scores import region_label
 from pairloom.functions.text import carries_marker, closer_than, words
-from pairloom.operators.ordering import first_per_group, hash_key, with_position
+from pairloom.operators.ordering import first_per_group, first_rows, hash_key, with_position
 from pairloom.session import cut_lineage, join_bounded
 
 
@@ -299,7 +299,8 @@ def shuffled_head(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> Dat
 
 
 def head(df: DataFrame, n: int, key: str = "id") -> DataFrame:
-    return df.orderBy(key).limit(n)
+    """The first n rows by `key`."""
+    return first_rows(df, [key], n)
 
 
 def region_slice(df: DataFrame, n: int, direction: str = "std2dia") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pairloom.session import join_bounded
+from pairloom.session import cut_lineage, join_bounded
 
 BUCKET_DIGITS = 3
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -61,16 +61,51 @@ def with_position(
 def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, n: int) -> DataFrame:
     """The first n rows of every group with their `rank` (1-based).
 
-    Spark keeps only n rows per group and task before the shuffle (window group limit); its
-    threshold on n is raised in the session if n is above it.
+    Up to the window group limit of the session, Spark keeps only n rows per group and task before
+    the shuffle. For a larger n rows are dealt to ranges by group and order; the sizes of a group's parts in the ranges give each
+    part its offset, so no group is ranked in one task.
     """
     if n < 0:
         raise ValueError(f"n must not be negative, got {n}")
-    conf = df.sparkSession.conf
-    if n > int(conf.get(GROUP_LIMIT, "1000")):
-        conf.set(GROUP_LIMIT, str(n))
-    window = W.partitionBy(*groups).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+    if n <= int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        window = W.partitionBy(*groups).orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+    dealt = cut_lineage(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    upto = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*groups, "_part", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_before")).filter(F.col("_before") < n)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*groups, "_part"]]  # null is a group too
+    met = dealt.alias("l").join(F.broadcast(offsets).alias("o"), same).select("l.*", "o._before")  # a row per group and range at most
+    window = W.partitionBy(*groups, "_part").orderBy(*order)
+    ranked = met.withColumn("rank", (F.col("_before") + F.row_number().over(window)).cast("int"))
+    return ranked.filter(F.col("rank") <= n).drop("_part", "_before")
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
+    """The n rows that come first by some columns (null first), as a set.
+
+    The n-th smallest key is found on the keys alone, range by range; the rows are then filtered by it, so
+    nothing but keys is sorted. Of rows that share the last key as many are taken as are missing.
+    """
+    if n <= 0:
+        return df.limit(0)
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("_k"))
+    dealt = cut_lineage(keys.repartitionByRange("_k").withColumn("_part", F.spark_partition_id()))
+    before = 0
+    for part, size in sorted(map(tuple, dealt.groupBy("_part").count().collect())):  # one row per partition
+        if before + size >= n:
+            break
+        before += size
+    else:
+        return df
+    at = W.orderBy("_k")  # the rows of one range
+    inside = dealt.filter(F.col("_part") == part).withColumn("_at", F.row_number().over(at)).withColumn("_less", F.rank().over(at) - 1)
+    last = inside.filter(F.col("_at") == n - before).select("_k", (F.lit(n - before) - F.col("_less")).alias("_more")).first()
+    fields = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(last[0], keys.schema["_k"].dataType.fields)]
+    keyed = df.withColumn("_k", key)
+    less, equal = keyed.filter(F.col("_k") < F.struct(*fields)), keyed.filter(F.col("_k").eqNullSafe(F.struct(*fields)))
+    return less.unionByName(equal.limit(last["_more"])).drop("_k")
 
 
 def exact_quantiles(

@@ -21,7 +21,7 @@ from pairloom.constants import (
 )
 from pairloom.functions.prosody import contour_marker, marked_words, summarize_f0
 from pairloom.functions.text import bind, clean_transcript, col, strip, words
-from pairloom.operators.ordering import hash_key
+from pairloom.operators.ordering import first_rows, hash_key
 
 EMPTY = "empty or invalid"
 SENTENCE_COLUMNS = (
@@ -72,8 +72,8 @@ def sample_paths(
 
 
 def sample_files(files: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """k files in a repeatable random order, for a small build."""
-    return files.orderBy(hash_key(seed, "path"), "path").limit(k)
+    """The k files that come first in a repeatable random order, for a small build; contents are not sorted."""
+    return first_rows(files, [hash_key(seed, "path"), "path"], k)
 
 
 # ---- decoding ---------------------------------------------------------------------------

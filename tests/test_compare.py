@@ -374,3 +374,27 @@ def test_text_classifier_learns(spark):
         K.fit_classifier(train, weighting="manual")
     with pytest.raises(ValueError):
         K.fit_classifier(train, weighting="other")
+
+
+@pytest.mark.parametrize("n", [1, 700, 2500, 6000])
+def test_first_rows_by_keys(spark, n):
+    rows = [(i, (i * 37) % 900, "x" * (i % 5)) for i in range(5000)] + [(None, None, "null")]
+    df = spark.createDataFrame(rows, "id int, k int, text string").repartition(7)
+    got = O.first_rows(df, ["k", "id"], n).collect()
+    key = lambda r: tuple((v is not None, v or 0) for v in (r[1], r[0]))
+    assert sorted(map(tuple, got), key=key) == sorted(rows, key=key)[:n]
+    ties = O.first_rows(df, ["k"], n).collect()
+    assert sorted(r.k if r.k is not None else -1 for r in ties) == sorted(r[1] if r[1] is not None else -1 for r in rows)[:n]
+
+
+def test_many_first_rows_per_group(spark):
+    """More rows a group than the window group limit: the same ranks, and the session's setting stays."""
+    df = spark.range(9000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") * 7919 % 9001).alias("k")).repartition(5)
+    df = df.withColumn("g", F.when(F.col("g") == 1, F.col("g")))
+    before = spark.conf.get(O.GROUP_LIMIT, "1000")
+    got = O.first_per_group(df, ["g"], [F.desc("k"), "id"], 3000)
+    assert spark.conf.get(O.GROUP_LIMIT, "1000") == before
+    for g in (None, 1):
+        own = sorted((r for r in df.collect() if r.g == g), key=lambda r: (-r.k, r.id))[:3000]
+        found = sorted((r.rank, r.id) for r in got.filter(F.col("g").eqNullSafe(F.lit(g))).collect())
+        assert found == [(i + 1, r.id) for i, r in enumerate(own)]
