@@ -25,6 +25,7 @@ from pairloom.functions.prosody import strip_markers
 from pairloom.functions.scores import region_label, word_hits
 from pairloom.functions.text import col, edit_bucket, region_group, strip
 from pairloom.operators.ordering import first_per_group
+from pairloom.session import join_bounded
 
 METRICS = (
     "tdr", "dfs", "eojeol_accuracy", "bleu", "chrf", "chrf_source", "copy_margin",
@@ -132,6 +133,13 @@ def metrics_by(stats: DataFrame, keys: Sequence[str], fluency: float = 0.5) -> D
     )
 
 
+def exact_matches(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`exact_match, exact_match_pct` per key: outputs equal to the dialect text but for blanks around."""
+    hit = F.when(strip("gen") == strip("dialect"), 1).otherwise(0)
+    share = F.round(100.0 * F.sum(hit) / F.count(F.lit(1)), 2)
+    return runs.groupBy(*keys).agg(F.sum(hit).alias("exact_match"), share.alias("exact_match_pct"))
+
+
 def metrics_long(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`keys, metric, value` rows."""
     names = [m for m in METRICS if m in wide.columns]
@@ -170,7 +178,9 @@ def samples_by_bucket(runs: DataFrame, names: Sequence[str], k: int) -> DataFram
     chosen = first_per_group(pairs, ["bucket_key"], ["id"], k)
     outputs = (
         runs.filter(F.col("run").isin(*names))
-        .join(F.broadcast(chosen.select("id")), "id", "left_semi")  # at most k ids per bucket key
+    )
+    outputs = (
+        join_bounded(outputs, chosen.select("id"), ["id"], "left_semi")  # k ids per bucket key
         .groupBy("id")
         .pivot("run", list(names))
         .agg(F.first("gen"))

@@ -198,16 +198,21 @@ def met11(spark, sf):
     return M.metrics_by(M.row_stats(runs(spark, sf)), ["do", "run"])
 
 
+@query("met11_with_gold", with_views("mapped", _body, **_ctes))
+def met11_with_gold(spark, sf):
+    """Outputs that know only their id, joined to the gold pairs."""
+    rows = runs(spark, sf)
+    own = ["run", "gen", "rev", "pred_label"]
+    gold = rows.filter(F.col("run") == V.BASELINE).select("id", *[c for c in rows.columns if c in ("do", "standard", "dialect", "dialect_eojeol_map")])
+    return M.metrics_by(M.row_stats(M.with_gold(rows.select("id", *own), gold)), ["do", "run"])
+
+
 @query(
     "met12_exact_match",
     with_views("gens", "SELECT run, count(*) FILTER (trim(gen) = trim(dialect)) AS exact_match, round(100.0 * count(*) FILTER (trim(gen) = trim(dialect)) / count(*), 2) AS exact_match_pct FROM gens GROUP BY run"),
 )
 def met12(spark, sf):
-    hit = F.when(M.strip("gen") == M.strip("dialect"), 1).otherwise(0)
-    return runs(spark, sf).groupBy("run").agg(
-        F.sum(hit).alias("exact_match"),
-        F.round(100.0 * F.sum(hit) / F.count(F.lit(1)), 2).alias("exact_match_pct"),
-    )
+    return M.exact_matches(runs(spark, sf), ["run"])
 
 
 _EDITS = edit_distance("standard", "dialect")

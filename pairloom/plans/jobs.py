@@ -122,13 +122,18 @@ def build_training_tables(spark: SparkSession, raw: str, out: str, marker_mode:
 # ---- leaderboard ------------------------------------------------------------------------
 
 
+def _counts(stats: DataFrame) -> DataFrame:
+    """Keys and counts; texts and probabilities stay out of the checkpoint."""
+    return stats.select("do", "run", "id", *[c for c in stats.columns if c.startswith("_")])
+
+
 def evaluate_runs(runs: DataFrame, baseline: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(run_metrics with OVERALL, sentence scores, region weights) of a run table.
 
     The n-gram counts are computed once and kept: region metrics and sentence scores are both
     sums over them.
     """
-    stats = cut_lineage(M.row_stats(runs))
+    stats = cut_lineage(_counts(M.row_stats(runs)))
     order = R.runs_of(stats, baseline).select("run", "run_order")
     wide = M.metrics_by(stats, ["do", "run"]).withColumnRenamed("do", "region")
     long = M.metrics_long(wide, ["region", "run"]).join(order, "run")
@@ -240,7 +245,7 @@ def multi_region_record(records: DataFrame, select_by: str = FIDELITY_AXIS) -> D
 
 def marker_ab(runs: DataFrame, control: str, arm: str, n_boot: int = 1000) -> DataFrame:
     """Two arms scored without their markers: metric table with deltas and the paired test."""
-    stats = cut_lineage(M.row_stats(runs.filter(F.col("run").isin(control, arm)), post_strip=True))
+    stats = cut_lineage(_counts(M.row_stats(runs.filter(F.col("run").isin(control, arm)), post_strip=True)))
     wide = M.metrics_by(stats, ["do", "run"]).withColumnRenamed("do", "region")
     table = R.with_deltas(R.compare_runs(M.metrics_long(wide, ["region", "run"]), [control, arm]), arm, control)
     scores = stats.select(F.col("do").alias("region"), "run", "id", M.bleu_score("_bleu_rev").alias("score"))
