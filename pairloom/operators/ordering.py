@@ -108,6 +108,38 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFram
     return less.unionByName(equal.limit(last["_more"])).drop("_k")
 
 
+#: distinct values of a bracket that one task may rank, and bins of a histogram that cuts a larger one
+BRACKET_VALUES, BRACKET_BINS = 100_000, 1024
+
+
+def _narrowed(counted: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Brackets `groups, i, rank, side, inside, c, _lo, _hi` of at most `BRACKET_VALUES` values.
+
+    The values of a larger one are counted in bins of equal width; the bins of the wanted rank and the next one stay, and the rest joins
+    the counts below and above. Every round divides the width by the number of bins, so doubles need a few rounds at most.
+    """
+    at = [*groups, "i"]
+    while True:
+        sizes = counted.filter("side = 0").groupBy(*at).agg(F.count(F.lit(1)).alias("_m"), F.min("inside").alias("_a"), F.max("inside").alias("_b"))
+        large = cut_lineage(sizes.filter((F.col("_m") > BRACKET_VALUES) & (F.abs("_a") < float("inf")) & (F.abs("_b") < float("inf"))))
+        if large.isEmpty():
+            return counted
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in at]
+        met = counted.alias("l").join(F.broadcast(large).alias("r"), same, "left").select("l.*", "r._a", "r._b")  # a row per bracket
+        share = (F.col("inside") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2)
+        bin_no = F.when(F.col("side") == 0, F.least(F.floor(share * BRACKET_BINS), F.lit(BRACKET_BINS - 1))).otherwise(F.col("side") * (BRACKET_BINS + 1))
+        binned = cut_lineage(met.withColumn("_bin", F.when(F.col("_a").isNotNull(), bin_no)))
+        running = W.partitionBy(*at).orderBy("_bin")
+        bins = binned.filter("_bin IS NOT NULL").groupBy(*at, "rank", "_bin").agg(F.sum("c").alias("_c")).withColumn("_end", F.sum("_c").over(running))
+        kept = bins.filter((F.col("_end") > F.floor("rank")) & (F.col("_end") - F.col("_c") <= F.floor("rank") + 1))
+        span = cut_lineage(kept.groupBy(*at).agg(F.min("_bin").alias("_first"), F.max("_bin").alias("_last")))
+        placed = binned.alias("l").join(F.broadcast(span).alias("r"), same, "left").select("l.*", "r._first", "r._last")
+        side = F.when(F.col("_bin") < F.col("_first"), -1).when(F.col("_bin") > F.col("_last"), 1).otherwise(F.col("side"))
+        moved = placed.withColumn("side", side.cast("int")).withColumn("inside", F.when(F.col("side") == 0, F.col("inside")))
+        again = moved.groupBy(*at, "rank", "side", "inside").agg(F.sum("c").alias("c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        counted = cut_lineage(again)
+
+
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]
 ) -> DataFrame:
@@ -115,7 +147,8 @@ def exact_quantiles(
 
     `percentile` would keep every distinct value of a group in one buffer. Here a bounded
     sketch brackets each wanted rank, counts below the bracket and the few values inside
-    it are aggregated in parallel, and only those values are ranked.
+    it are aggregated in parallel. A bracket of many distinct values is cut by a histogram again and
+    again, and only the values that are left are ranked.
     """
     if any(not 0.0 <= s <= 1.0 for s in shares):
         raise ValueError("shares must lie in [0, 1]")
@@ -151,6 +184,7 @@ def exact_quantiles(
         .groupBy(*groups, "i", "rank", "side", F.when(F.col("side") == 0, F.col("_v")).alias("inside"))
         .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
+    counted = _narrowed(cut_lineage(counted), groups)
     running = W.partitionBy(*groups, "i").orderBy("side", "inside")
     ranked = counted.withColumn("_end", F.sum("c").over(running)).withColumn(
         "_start", F.col("_end") - F.col("c")

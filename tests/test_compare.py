@@ -398,3 +398,16 @@ def test_many_first_rows_per_group(spark):
         own = sorted((r for r in df.collect() if r.g == g), key=lambda r: (-r.k, r.id))[:3000]
         found = sorted((r.rank, r.id) for r in got.filter(F.col("g").eqNullSafe(F.lit(g))).collect())
         assert found == [(i + 1, r.id) for i, r in enumerate(own)]
+
+
+def test_quantiles_of_a_wide_bracket(spark, monkeypatch):
+    """10**6 distinct values that a bracket holds are cut down over tasks before any are ranked."""
+    monkeypatch.setattr(O, "BRACKET_VALUES", 50)
+    rows = spark.range(1_000_000).select((F.col("id") % 2).alias("g"), F.exp(F.col("id") * 7919 % 1_000_003 / 50_000.0).alias("v"))
+    got = {r.g: r for r in O.exact_quantiles(rows, ["g"], "v", [0.0, 0.5, 0.95, 1.0]).collect()}
+    for g in (0, 1):
+        values = np.exp(np.arange(g, 1_000_000, 2) * 7919 % 1_000_003 / 50_000.0)
+        wanted = np.quantile(values, [0.0, 0.5, 0.95, 1.0])
+        assert [got[g][f"q{i}"] for i in range(4)] == pytest.approx(wanted.tolist(), rel=1e-9)
+    few = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", 2.0)], "g string, v double")
+    assert {r.g: r.q0 for r in O.exact_quantiles(few, ["g"], "v", [0.5]).collect()}["a"] == 2.0
