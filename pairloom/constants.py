@@ -110,3 +110,9 @@ SCORE_RANGES: dict[str, tuple[float, float]] = {
     "length": (0.0, 1.0),
 }
 DEFAULT_SCORES: tuple[tuple[str, float], ...] = (("style", 1.0), ("content", 0.5))
+
+# Repairs of the known damage of the transcript files, in the order in which they apply.
+REPAIR_REMOVED = "\n\t"
+REPAIR_PATTERNS = ((", +\\}", ",}"), (", +\\]", ",]"))
+REPAIR_TEXTS = ((",}", "}"), (",]", "]"), ("'", '"'), (".,", ","))
+REPAIR_DOUBLE_COMMA = r'(?U)([}\]])\s*,\s*,\s*(?="[^"]+"\s*:)'

@@ -16,6 +16,10 @@ from pairloom.constants import (
     LEGACY_REGION_IN_PATH,
     REGION_CODES,
     REGION_IN_PATH,
+    REPAIR_DOUBLE_COMMA,
+    REPAIR_PATTERNS,
+    REPAIR_REMOVED,
+    REPAIR_TEXTS,
     SPEECH_PREFIXES,
     SPLIT_FOLDERS,
 )
@@ -81,11 +85,12 @@ def sample_files(files: DataFrame, k: int, seed: int = 42) -> DataFrame:
 
 def repair_json(text: Column | str) -> Column:
     """Known damage of the corpus: line breaks, trailing and doubled commas, single quotes."""
-    out = F.translate(col(text), "\n\t", "")
-    out = F.regexp_replace(F.regexp_replace(out, ", +\\}", ",}"), ", +\\]", ",]")
-    for damaged, fixed in ((",}", "}"), (",]", "]"), ("'", '"'), (".,", ",")):
+    out = F.translate(col(text), REPAIR_REMOVED, "")
+    for pattern, fixed in REPAIR_PATTERNS:
+        out = F.regexp_replace(out, pattern, fixed)
+    for damaged, fixed in REPAIR_TEXTS:
         out = F.replace(out, F.lit(damaged), F.lit(fixed))
-    return F.regexp_replace(out, r'(?U)([}\]])\s*,\s*,\s*(?="[^"]+"\s*:)', "$1,")
+    return F.regexp_replace(out, REPAIR_DOUBLE_COMMA, "$1,")
 
 
 def decode_strict(text: Column, schema: str) -> Column:
