@@ -222,13 +222,18 @@ def test_mark_table(spark, tmp_path):
         B.add_marker_column(marked.drop("prosody"))
 
 
-def test_group_limit_holds_beyond_the_default_threshold(spark):
-    from pairloom.operators.ordering import first_per_group
+def test_no_window_over_a_group_beyond_the_group_limit(spark):
+    """Up to the limit Spark keeps n rows a task; above it the windows are over ranges of a group, and the setting stays."""
+    from pairloom.operators.ordering import GROUP_LIMIT, first_per_group
 
     df = spark.range(20_000).selectExpr("id", "id % 3 AS g")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(first_per_group(df, ["g"], ["id"], 500))
+    before = spark.conf.get(GROUP_LIMIT, "1000")
     top = first_per_group(df, ["g"], ["id"], 5_000)
-    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
-    assert top.count() == 15_000
+    windows = [line for line in plan(top).split("\n") if "Window [row_number()" in line]
+    assert windows and all("_part" in line for line in windows)
+    assert top.count() == 15_000 and spark.conf.get(GROUP_LIMIT, "1000") == before
 
 
 def test_shuffled_head_is_a_distributed_top_n(spark):
