@@ -252,7 +252,7 @@ def dst10(spark, sf):
 
 @query("dst10_label_counts", with_views("kept", "SELECT split, label, count(*) AS n FROM kept GROUP BY ALL"))
 def dst10_counts(spark, sf):
-    rows = C.classifier_table(V.pairs(spark, sf), endings=V.ENDINGS)
+    rows = C.classifier_table(V.pairs(spark, sf), endings=V.ENDINGS, keys_only=True)
     return rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
