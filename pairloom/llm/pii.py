@@ -5,8 +5,8 @@ Base spans (email, ip, card, phone) come from their patterns and checks alone. T
 propose further spans with high recall, overlapping each other: words that hold a digit, assignments
 of a value to a name, and grouped digits. Each candidate is described by its format and its context;
 gradient-boosted trees score it, and a threshold per generator, read off a calibration table, selects
-the spans to redact. There are no labelled spans in the tables, so the trees learn from weak labels on
-at most about `sample_rows` documents: a candidate counts as private if it lies in a base span, follows
+the spans to redact. There are no labelled spans in the tables, so the trees and the thresholds learn from weak
+labels of all candidates of all documents (equal ones are one row with its count as weight): a candidate counts as private if it lies in a base span, follows
 a name for secrets, or starts with a known key prefix; these rules are not among the features.
 
 Patterns use possessive quantifiers and start conditions so that matching stays linear on any text;
@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.rows import hold, whole_text
+from pairloom.llm.rows import hold, stored, whole_text
 
 # Patterns and checks of the base kinds, in the order of their listing.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -183,37 +183,28 @@ def _all_base() -> Column:
     return F.concat(*[F.col(f"_base_{k}") for k in KINDS])
 
 
-def train_spans(prepared: DataFrame, sample_rows: int, trees: int, precision: float) -> SpanModel | None:
-    """Boosted trees and calibrated thresholds from weakly labelled candidates; None if one kind is missing."""
-    picked = F.xxhash64(F.lit(31), "_pii_id").bitwiseAND(F.lit((1 << 30) - 1))
-    busy = prepared.filter(sum((F.size(f"_gen_{g}") for g in GENERATORS), F.lit(0)) > 0)
-    rows = busy.count()
-    if not rows:
-        return None
-    share = int((1 << 30) * min(1.0, sample_rows / rows))
-    sampled = busy.filter(picked < share).withColumn("_base", _all_base())
-    each = [
-        sampled.select("_pii_id", "_base", F.explode(f"_gen_{g}").alias("c"), F.lit(g).alias("_g")) for g in GENERATORS
-    ]
+def train_spans(prepared: DataFrame, trees: int, precision: float) -> SpanModel | None:
+    """Boosted trees and calibrated thresholds from all weakly labelled candidates; None if one kind is missing."""
+    based = prepared.withColumn("_base", _all_base())
+    each = [based.select("_base", F.explode(f"_gen_{g}").alias("c"), F.lit(g).alias("_g")) for g in GENERATORS]
     seen = each[0].unionByName(each[1]).unionByName(each[2])
     c = F.col("c")
-    table = hold(
-        seen.select(
-            "_g",
-            (F.xxhash64(F.lit(37), "_pii_id") % 4 == 0).alias("_check"),
-            F.when(looks_private(c, F.col("_base")), 1.0).otherwise(0.0).alias("label"),
-            *[f.cast("double").alias(name) for f, name in zip(format_features(c), FEATURES)],
-        )
+    described = seen.select(
+        "_g",
+        F.when(looks_private(c, F.col("_base")), 1.0).otherwise(0.0).alias("label"),
+        *[f.cast("double").alias(name) for f, name in zip(format_features(c), FEATURES)],
     )
+    # candidates that the trees cannot tell apart are one row
+    table = stored(described.groupBy("_g", "label", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("weight")))
     if table.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table)
-    model = GBTClassifier(maxIter=trees, maxDepth=3, maxBins=32, seed=1, stepSize=0.3).fit(vectors)
+    model = GBTClassifier(maxIter=trees, maxDepth=3, maxBins=32, seed=1, stepSize=0.3, weightCol="weight").fit(vectors)
     probability = vector_to_array("probability")[1]
     bins = (
-        model.transform(vectors.filter("_check"))
+        model.transform(vectors)
         .groupBy("_g", F.floor(probability * 100).alias("_bin"))
-        .agg(F.sum("label").alias("_yes"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(F.col("label") * F.col("weight")).alias("_yes"), F.sum("weight").alias("_n"))
         .collect()
     )
     thresholds = {g: _threshold([r for r in bins if r["_g"] == g], precision) for g in GENERATORS}
@@ -268,7 +259,6 @@ def find_private(
     df: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
-    sample_rows: int = 4000,
     trees: int = 12,
     precision: float = 0.95,
     keep: list[str] | None = None,
@@ -282,10 +272,10 @@ def find_private(
     are ignored, whatever their names.
     """
     kept = [doc_id] if keep is None else keep
-    inner = df.select(*kept, F.col(text).alias("_raw"), F.col(doc_id).alias("_pii_id"))
+    inner = df.select(*kept, F.col(text).alias("_raw"))
     # spans are kept, texts are not: the trees and the result read this narrow table
-    prepared = hold(_prepared(inner, "_raw", [*kept, "_pii_id"]))
-    model = train_spans(prepared, sample_rows, trees, precision)
+    prepared = hold(_prepared(inner, "_raw", kept))
+    model = train_spans(prepared, trees, precision)
     kinds = [f"_base_{k}" for k in KINDS]
     if model is None:
         return prepared.select(*kept, *kinds, F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("_added"))
