@@ -1,12 +1,16 @@
 import json
 import re
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom import schemas
 from pairloom.plans import jobs
+from pairloom.plans.catalog import CATALOG
+from pairloom.plans.catalog.ingest import SCAN_FOLDERS
+from pairloom.session import ensure_checkpoint_dir
 from pairloom.sources import tables, transcripts as T
 from pairloom.streaming.incremental import append_sentences
 
@@ -352,3 +356,15 @@ def test_first_annotation_of_an_id_counts(parse, spark):
     items = spark.createDataFrame([([(None, "x"), ("b", "y"), (None, "z"), ("", "e")],)], "i array<struct<sentenceId: string, tagType: string>>")
     found = [T.tag_of(T.tags_by_id(F.col("i")), F.lit(k).cast("string")) for k in (None, "b", "", "a")]
     assert list(items.select(*found).first()) == ["x", "y", "e", None]
+
+
+def test_scan_query_keeps_many_files_in_a_folder(spark, tmp_path):
+    """A folder per document took longer to make and to list than its file; copies of a name are one file."""
+    turns = [(c, t, "user", f"Words of {c}. And {t}.") for c in range(150) for t in range(4)]
+    spark.createDataFrame(turns + turns[:1], "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    rows = CATALOG["ing01_scan"].run(spark, str(tmp_path)).collect()
+    (made,) = [p for p in top.iterdir() if p not in before]
+    assert sorted((r.name, r.documents) for r in rows) == sorted((f"{c}_{t}", 1) for c, t, *_ in turns)
+    assert len([p for p in made.iterdir() if p.is_dir()]) <= SCAN_FOLDERS < len(turns) == len(list(made.rglob("*.txt")))
