@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,11 @@ def test_null_texts_count_as_empty(spark):
     df = spark.createDataFrame([(None, "가나"), ("가나", None)], "h string, r string")
     assert [sum(r.c) for r in df.select(N.chrf_stats("h", "r").alias("c")).collect()] == [3, 0]
     assert df.select(F.sum(F.get(N.bleu_stats("h", "r"), 0)).alias("n")).first().n == 1
+
+
+def test_bleu_kernel_takes_texts_with_runs_of_blanks():
+    """The columns in front of it need not even the blanks out."""
+    wide, even = pd.Series(["  a　 b \x1c c ", " \n ", ""]), pd.Series(["a b c", "", ""])
+    ref = pd.Series(["a b d", "x", ""])
+    assert [list(x) for x in overlap.bleu_counts(wide, ref)] == [list(x) for x in overlap.bleu_counts(even, ref)]
+    assert list(overlap.bleu_counts(wide, ref)[0])[:4] == [3, 3, 3, 2]
