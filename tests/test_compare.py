@@ -376,6 +376,28 @@ def test_text_classifier_learns(spark):
         K.fit_classifier(train, weighting="other")
 
 
+def test_text_classifier_takes_the_texts_apart_once(spark):
+    """IDF, the summary and every iteration read stored counts; the fit has the stages and the weights of the plain pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(f"{w} {i % 7}", label) for i in range(40) for w, label in (("안녕하세요", 0), ("핸감수다", 1), ("abc", 2))]
+    df = spark.createDataFrame(rows, "text string, label int")
+    model = K.fit_classifier(df.withColumn("text", seen("text")), "none", max_n=2, features=1 << 8, max_iter=5)
+    assert read.value == len(rows)
+    plain = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=5, regParam=1e-4)
+    whole = Pipeline(stages=[*K._featurizer(2, 1 << 8), plain]).fit(df.withColumn("weight", F.lit(1.0)))
+    assert [type(s) for s in model.stages] == [type(s) for s in whole.stages]
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), whole.stages[-1].coefficientMatrix.toArray(), atol=1e-6)
+
+
 @pytest.mark.parametrize("n", [1, 700, 2500, 6000])
 def test_first_rows_by_keys(spark, n):
     rows = [(i, (i * 37) % 900, "x" * (i % 5)) for i in range(5000)] + [(None, None, "null")]
