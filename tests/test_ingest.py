@@ -368,3 +368,15 @@ def test_scan_query_keeps_many_files_in_a_folder(spark, tmp_path):
     (made,) = [p for p in top.iterdir() if p not in before]
     assert sorted((r.name, r.documents) for r in rows) == sorted((f"{c}_{t}", 1) for c, t, *_ in turns)
     assert len([p for p in made.iterdir() if p.is_dir()]) <= SCAN_FOLDERS < len(turns) == len(list(made.rglob("*.txt")))
+
+
+def test_scan_query_writes_no_second_file_per_document(spark, tmp_path):
+    """Checksum files doubled the files of the corpus, and their modes were set by processes of their own."""
+    turns = [(c, t, "user", f"Words of {c}. And {t}.") for c in range(20) for t in range(3)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    top = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    rows = CATALOG["ing01_scan"].run(spark, str(tmp_path)).collect()
+    (made,) = [p for p in top.iterdir() if p not in before]
+    assert sorted((r.name, r.documents) for r in rows) == sorted((f"{c}_{t}", 1) for c, t, *_ in turns)
+    assert [p.suffix for folder in made.iterdir() if folder.is_dir() for p in folder.iterdir()] == [".txt"] * len(turns)
