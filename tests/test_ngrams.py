@@ -115,3 +115,37 @@ def test_bleu_kernel_takes_texts_with_runs_of_blanks():
     ref = pd.Series(["a b d", "x", ""])
     assert [list(x) for x in overlap.bleu_counts(wide, ref)] == [list(x) for x in overlap.bleu_counts(even, ref)]
     assert list(overlap.bleu_counts(wide, ref)[0])[:4] == [3, 3, 3, 2]
+
+
+def test_grams_by_one_sort_are_those_by_ranks(monkeypatch):
+    """One pass over a block for all n, if its symbols fit into a word; ranks order by order for any alphabet."""
+    rng = random.Random(3)
+    text = lambda letters: "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 6, 40])))
+    wide = [chr(k) for k in range(0xAC00, 0xAC00 + 3000)]
+    hyp = [text("ab é\ud800") for _ in range(300)] + [text(wide) for _ in range(300)]
+    ref = [x if k % 3 == 0 else x[1:] + x[:2] if k % 3 == 1 else text("ab c") for k, x in enumerate(hyp)]
+    used, kinds = [], {}
+    for name in ("_sort_grams", "_rank_grams"):
+        kinds[name] = getattr(overlap, name)
+        monkeypatch.setattr(overlap, name, lambda *a, name=name: used.append(name) or kinds[name](*a))
+    h, r = pd.Series(hyp), pd.Series(ref)
+    got = [list(x) for part in (slice(0, 300), slice(300, 600)) for x in overlap.chrf_counts(h[part], r[part])]
+    assert used == ["_sort_grams", "_rank_grams"]
+    for a, b, counts in zip(hyp, ref, got, strict=True):
+        for n in range(1, 7):
+            x, y = (Counter(t[i : i + n] for i in range(len(t) - n + 1)) for t in (a, b))
+            assert counts[3 * n - 3 : 3 * n] == [x.total() if y else 0, y.total(), (x & y).total()]
+    monkeypatch.setattr(overlap, "_sort_grams", kinds["_rank_grams"])
+    assert [list(x) for x in overlap.chrf_counts(h[:300], r[:300])] == got[:300]
+
+
+def test_places_without_a_match_are_not_ranked_again(monkeypatch):
+    """Texts that share one word of three: only its places are looked at in longer n-grams."""
+    sizes, factorize = [], pd.factorize
+    monkeypatch.setattr(overlap.pd, "factorize", lambda x: sizes.append(len(x)) or factorize(x))
+    monkeypatch.setattr(overlap, "_sort_grams", overlap._rank_grams)
+    h, r = pd.Series(["abc xyz", "", "abcd"]), pd.Series(["abc uvw", "a", "abcd"])
+    counts = [list(x) for x in overlap.chrf_counts(h, r)]
+    assert sizes[1:] == [23, 14, 10, 6, 2]
+    assert counts[0][:12] == [7, 7, 4, 6, 6, 3, 5, 5, 2, 4, 4, 1] and counts[0][12:] == [3, 3, 0, 2, 2, 0]
+    assert counts[1] == [0, 1, 0] + [0] * 15 and counts[2] == [4, 4, 4, 3, 3, 3, 2, 2, 2, 1, 1, 1] + [0] * 6
